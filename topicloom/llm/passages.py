@@ -173,9 +173,9 @@ def common_batch(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(own), pa.array(own), pa.array(count.astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(zero)], names=["kind", "a", "b", "cnt", "na", "nb"])
 
 
-def summed(counted: DataFrame) -> DataFrame:
+def summed(counted: DataFrame, ordered: bool = True) -> DataFrame:
     """Partial counts summed per pair; pairs below the share and texts with few common passages are left out."""
     total = counted.groupBy("kind", "a", "b").agg(F.sum("cnt").cast("int").alias("cnt"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    enough = (F.col("kind") == 0) & (F.col("a") < F.col("b")) & (F.col("cnt") >= F.greatest(F.lit(FEWEST), F.ceil(F.least("na", "nb") * SHARE)))
+    enough = (F.col("kind") == 0) & ((F.col("a") < F.col("b")) if ordered else (F.col("a") != F.col("b"))) & (F.col("cnt") >= F.greatest(F.lit(FEWEST), F.ceil(F.least("na", "nb") * SHARE)))
     crowded = (F.col("kind") == 1) & (F.col("cnt") * 2 >= F.col("na"))
     return total.where(enough | crowded)

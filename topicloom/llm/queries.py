@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates
+from . import history, near_duplicates
 from .cluster import read_table
 
 
@@ -15,6 +15,10 @@ def _contents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "sample_final").select(F.col("record_id").alias("id"), "content")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history.delivered_before(read_table(spark, folder, "sample_final"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_contents(spark, folder))
 
@@ -24,7 +28,7 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p7_found, p7_groups)
+    found = (p6_found, p7_found, p7_groups)
     return {f.__name__: f for f in found}
 
 
