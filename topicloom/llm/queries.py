@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, near_duplicates
+from . import cutoffs, history, near_duplicates, repeated_lines, tokens
 from .cluster import read_table
 
 
@@ -15,6 +15,23 @@ def _contents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "sample_final").select(F.col("record_id").alias("id"), "content")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.repeated_lines(read_table(spark, folder, "sample_final"))
+
+
+def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    records = read_table(spark, folder, "sample_final", "record_id", "site_name", "content")
+    return repeated_lines.without_lines(records, repeated_lines.repeated_lines(records))
+
+
+def p1_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.frequent_sequences(read_table(spark, folder, "sample_final"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cutoffs.site_cutoffs(read_table(spark, folder, "sample_final", "site_name", "ai_relevance_score"), read_table(spark, folder, "keep_targets"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.delivered_before(read_table(spark, folder, "sample_final"))
 
@@ -27,10 +44,14 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_contents(spark, folder))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_documents(read_table(spark, folder, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p6_found, p7_found, p7_groups)
+    found = (p1_found, p1_cleaned, p1_sequences, p4_found, p6_found, p7_found, p7_groups, p8_ids)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": cutoffs.SITE_CUTOFFS_SQL}
