@@ -22,11 +22,11 @@ RUN = 5
 LEAST = 240
 SIMILAR = 0.6
 #: Letters of a passage at each level; a level is entered only by texts nearly all of whose passages are too common one level before.
-WIDTHS = (24, 96, 384)
+WIDTHS = (32, 96, 384)
 #: One passage in so many is a key.
 SAMPLE = 8
 #: A passage in more texts than this isn't expanded to pairs at its level (it is at the last one).
-COMMON = 32
+COMMON = 24
 #: Of the smaller text's sampled passages, the share that a candidate pair must have in common, and their least number.
 SHARE, FEWEST = 0.15, 3
 
@@ -144,7 +144,7 @@ class PairCounts:
         return self.held >= self.limit
 
     def take(self) -> tuple[np.ndarray, ...] | None:
-        """(a, b, count, na, nb) of what was added."""
+        """(a, b, n, count) of what was added; n holds both texts' numbers of passages."""
         if not self.held:
             return None
         a, b, na, nb = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -152,30 +152,32 @@ class PairCounts:
         ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
         key = place[: len(a)].astype(np.uint64) * np.uint64(len(ids)) + place[len(a) :].astype(np.uint64)
         _, first, count = np.unique(key, return_index=True, return_counts=True)
-        return a[first], b[first], count, na[first], nb[first]
+        return a[first], b[first], both(na[first], nb[first]), count
 
 
-PAIR_SCHEMA = "kind int, a long, b long, cnt int, na int, nb int"
+#: Of a pair (a, b): n, the two texts' numbers of sampled passages in one number, and cnt, the passages they share.
+#: A row with a = b counts the passages of a that were too common to be expanded.
+PAIR_SCHEMA = "a long, b long, n long, cnt int"
+
+
+def both(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    return (na.astype(np.int64) << 32) | nb.astype(np.int64)
 
 
 def pair_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    a, b, count, na, nb = found
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.zeros(len(a), dtype=np.int32)), pa.array(a), pa.array(b), pa.array(count.astype(np.int32)), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))],
-        names=["kind", "a", "b", "cnt", "na", "nb"],
-    )
+    a, b, n, count = found
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(count.astype(np.int32))], names=["a", "b", "n", "cnt"])
 
 
 def common_batch(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows of kind 1: of text a, cnt of its n sampled passages were too common."""
     own, first, count = np.unique(ids, return_index=True, return_counts=True)
-    zero = np.zeros(len(own), dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(own), pa.array(own), pa.array(count.astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(zero)], names=["kind", "a", "b", "cnt", "na", "nb"])
+    return pair_batch((own, own, both(n[first], n[first]), count))
 
 
-def summed(counted: DataFrame, ordered: bool = True) -> DataFrame:
+def summed(counted: DataFrame) -> DataFrame:
     """Partial counts summed per pair; pairs below the share and texts with few common passages are left out."""
-    total = counted.groupBy("kind", "a", "b").agg(F.sum("cnt").cast("int").alias("cnt"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    enough = (F.col("kind") == 0) & ((F.col("a") < F.col("b")) if ordered else (F.col("a") != F.col("b"))) & (F.col("cnt") >= F.greatest(F.lit(FEWEST), F.ceil(F.least("na", "nb") * SHARE)))
-    crowded = (F.col("kind") == 1) & (F.col("cnt") * 2 >= F.col("na"))
+    total = counted.groupBy("a", "b", "n").agg(F.sum("cnt").cast("int").alias("cnt"))
+    na, nb = F.shiftright("n", 32), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF))
+    enough = (F.col("a") != F.col("b")) & (F.col("cnt") >= F.greatest(F.lit(FEWEST), F.ceil(F.least(na, nb) * SHARE)))
+    crowded = (F.col("a") == F.col("b")) & (F.col("cnt") * 2 >= na)
     return total.where(enough | crowded)
