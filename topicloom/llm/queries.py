@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoffs, history, near_duplicates, repeated_lines, tokens
+from . import cutoffs, history, near_duplicates, page_quality, repeated_lines, tokens
 from .cluster import read_table
 
 
@@ -28,10 +28,35 @@ def p1_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.frequent_sequences(read_table(spark, folder, "sample_final"))
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "sample_final", "record_id", "site_name", "content")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_quality.template_residue(_pages(spark, folder))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_quality.not_prose(_pages(spark, folder))
+
+
+def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return page_quality.statistics(_pages(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs.site_cutoffs(read_table(spark, folder, "sample_final", "site_name", "ai_relevance_score"), read_table(spark, folder, "keep_targets"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_quality.not_body(_pages(spark, folder))
+
+
+def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    records = _pages(spark, folder)
+    return repeated_lines.without_lines(records, page_quality.not_body(records))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.delivered_before(read_table(spark, folder, "sample_final"))
 
@@ -49,7 +74,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_cleaned, p1_sequences, p4_found, p6_found, p7_found, p7_groups, p8_ids)
+    found = (p1_found, p1_cleaned, p1_sequences, p2_found, p3_found, p3_statistics, p4_found, p5_found, p5_bodies, p6_found, p7_found, p7_groups, p8_ids)
     return {f.__name__: f for f in found}
 
 
