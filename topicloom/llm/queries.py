@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoffs, history, near_duplicates, page_quality, repeated_lines, tokens
+from . import cutoffs, history, mixture, near_duplicates, page_quality, repeated_lines, subjects, tokens
 from .cluster import read_table
 
 
@@ -73,10 +73,35 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts decoded from their ids."""
+    return tokens.decode_documents(p8_ids(spark, folder))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixed(read_table(spark, folder, "documents", "doc_id", "text", "source"), read_table(spark, folder, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.report(read_table(spark, folder, "documents", "doc_id", "text", "source"), read_table(spark, folder, "mix_targets"))
+
+
+def _subject_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return read_table(spark, folder, "documents", "doc_id", "text", "title", "source"), read_table(spark, folder, "subject_labels"), read_table(spark, folder, "subjects")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(*_subject_tables(spark, folder)).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.corpus_shares(*_subject_tables(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_cleaned, p1_sequences, p2_found, p3_found, p3_statistics, p4_found, p5_found, p5_bodies, p6_found, p7_found, p7_groups, p8_ids)
+    found = (p1_found, p1_cleaned, p1_sequences, p2_found, p3_found, p3_statistics, p4_found, p5_found, p5_bodies, p6_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_mixture, p9_report, p10_found, p10_shares)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": cutoffs.SITE_CUTOFFS_SQL}
+    return {"p4_found": cutoffs.SITE_CUTOFFS_SQL, "p8_round_trip": tokens.ROUND_TRIP_SQL}

@@ -214,3 +214,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decode, "doc_id long, text string")
+
+
+#: What decoding gives back: every text, null as empty.
+ROUND_TRIP_SQL = "select doc_id, coalesce(text, '') as text from documents"
