@@ -7,8 +7,29 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File endings that are never pages, for detail links and for discovery.
-FILE_ENDINGS = ("jpg", "jpeg", "png", "gif", "svg", "webp", "css", "js", "zip", "rar")
+# File endings that are never pages.
+FILE_ENDINGS = ("doc", "docx", "xls", "xlsx", "zip", "rar", "jpg", "jpeg", "png", "gif")
+# Parts of addresses and of link texts that never lead to an article.
+SKIPPED_URL_PARTS = ("/znwd/", "/wzgl/", "/english/", "/rss", "/hd/xmt/", "login", "register", "search")
+SKIPPED_TEXT_PARTS = ("rss", "english", "新媒体", "信访", "智能问答", "无障碍", "登录", "注册", "搜索", "邮箱", "订阅", "可行性研究报告", "专精特新申报", "市场地位证明", "商业计划书", "定制报告", "提交需求")
+# A domain whose articles all lie below one path.
+DETAIL_PATHS = {"qianzhan.com": "/report/detail/"}
+# Shapes of list pages and of article pages.
+LIST_SHAPES = r"/tag/|/(?:industry|industry/xinzhi|industry/wiki)/$|/research/maoyi$|/channel/[^/.]+/?$"
+DETAIL_SHAPES = r"/(?:research|news|industry|wiki|channel)/.+\.html(?:\?|$)|/(?:information|report)/[0-9]+(?:/detail)?(?:\?|$)"
+# Search pages by domain, {query} being percent-encoded.
+SEARCH_TEMPLATES = {
+    "yicai.com": ("https://www.yicai.com/search?keys={query}",),
+    "chyxx.com": ("https://www.chyxx.com/search?word={query}",),
+    "huaon.com": ("https://www.huaon.com/search?word={query}",),
+    "qianzhan.com": ("https://bg.qianzhan.com/report/search/k-{query}.html", "https://t.qianzhan.com/search/?q={query}"),
+    "cbndata.com": ("https://www.cbndata.com/search?query={query}",),
+    "36kr.com": ("https://36kr.com/search/articles/{query}",),
+}
+# Domains searched through an API; domains whose articles of one site lie under another.
+API_DOMAINS = ("stats.gov.cn", "iresearch.com.cn", "cbndata.com", "djyanbao.com")
+DETAIL_DOMAINS = {("艾瑞咨询", "report.iresearch.cn"): "iresearch.cn"}
+YEAR = "20[0-9]{2}"
 # Query parameters that only track a visit.
 TRACKING_KEYS = ("spm", "from", "source")
 TRACKING_PREFIX = "utm_"
@@ -75,6 +96,71 @@ def canonical_url(url: Column | str) -> Column:
     return F.regexp_replace(F.concat(base, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))), "/+$", "")
 
 
-def has_file_ending(url: Column | str, pdf: bool = True, endings: Iterable[str] = FILE_ENDINGS) -> Column:
-    """The path ends like a file that is no page; pdf files count unless they are read too."""
-    return F.regexp_replace(F.lower(_text(url)), "[?#].*$", "").rlike("[.](" + "|".join([*endings, *["pdf"] * pdf]) + ")$")
+def has_file_ending(url: Column | str, pdf: bool = True) -> Column:
+    """The address ends like a file that is no page, before a query or at its end; pdf files count unless they are read too."""
+    return F.lower(_text(url)).rlike("[.](" + "|".join([*FILE_ENDINGS, *["pdf"] * pdf]) + r")(\?|$)")
+
+
+def _contains_any(text: Column, parts: Iterable[str]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def is_skipped_link(url: Column | str, text: Column | str) -> Column:
+    """A link that is no article: by parts of its address or text, or a short text without a year in the address."""
+    address, words = F.lower(_text(url)), F.lower(F.trim(_text(text)))
+    skipped = _contains_any(address, SKIPPED_URL_PARTS) | _contains_any(words, SKIPPED_TEXT_PARTS) | ((F.length(words) < 6) & ~address.rlike(YEAR))
+    for domain, path in DETAIL_PATHS.items():
+        skipped = skipped | (within_domain(url, F.lit(domain)) & ~F.contains(address, F.lit(path)))
+    return skipped
+
+
+def is_list_page(url: Column | str) -> Column:
+    return F.lower(_text(url)).rlike(LIST_SHAPES)
+
+
+def is_detail_page(url: Column | str) -> Column:
+    return F.lower(_text(url)).rlike(DETAIL_SHAPES)
+
+
+def is_api_domain(url: Column | str) -> Column:
+    host = url_domain(url)
+    found = F.lit(False)
+    for domain in API_DOMAINS:
+        found = found | is_domain_or_below(host, F.lit(domain))
+    return found
+
+
+def detail_domain(site_name: Column, url: Column, domain: Column) -> Column:
+    """The domain that a site's articles must lie under."""
+    chosen = domain
+    for (name, host), other in DETAIL_DOMAINS.items():
+        chosen = F.when((site_name == name) & (url_domain(url) == host), F.lit(other)).otherwise(chosen)
+    return chosen
+
+
+def percent_encoded(text: Column) -> Column:
+    """As in a path: a blank is %20, a slash stays."""
+    return F.replace(F.replace(_encoded(text), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
+def search_address(template: Column, query: Column) -> Column:
+    return F.replace(template, F.lit("{query}"), percent_encoded(query))
+
+
+def resolved_link(base: Column, href: Column) -> Column:
+    """An http(s) address without fragment for a link on a page; null for other schemes. Dot segments are left as they are."""
+    link = F.regexp_replace(F.trim(_text(href)), "#.*$", "")
+    origin = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*.*/)[^/]*$", "$1")
+    whole = (
+        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), link))
+        .when(link == "", F.regexp_replace(base, "#.*$", ""))
+        .otherwise(F.concat(folder, link))
+    )
+    return F.when(F.lower(whole).rlike("^https?://"), whole)
