@@ -84,7 +84,7 @@ def _filled(*columns: str) -> Column:
 # The shapes of the four search APIs' answers.
 _SHAPES = {
     "stats": "resultDocs array<struct<data:struct<url:string,title:string,titleO:string,summary:string,docDate:string>>>",
-    "iresearch": "list array<struct<url:string,id:string,NewsId:string,newsid:string,hiliterTitle:string,title:string,hkeyword:string,shortcontent:string,uptime:string>>",
+    "iresearch": "list array<map<string,string>>",
     "cbndata": "data struct<data:array<struct<id:string,newId:string,type:string,title:string,summary:string,content:string,date:string>>>",
     "djyanbao": "data struct<data:array<struct<id:string,title:string,highlight:map<string,array<string>>,orgName:string,authors:string,publishAt:string>>>",
 }
