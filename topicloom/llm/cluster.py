@@ -27,6 +27,12 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input is in fewer parts than that; larger inputs stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     return table.select(*columns) if columns else table

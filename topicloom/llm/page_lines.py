@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 # Words of menus and of footers.
 MENU_WORDS = frozenset(
@@ -21,7 +23,6 @@ FOOTER_WORDS = frozenset(
 )
 _TWO_WORDS = [(re.compile(w.replace("_", " ")), w) for w in (*MENU_WORDS, *FOOTER_WORDS) if "_" in w]
 
-_QUOTES = str.maketrans("“”’", "\"\"'")
 _SPLIT = re.compile(r"[|/·»›>–—•,、;:\-\s]+")
 _EDGE = re.compile(r"^[\s\[\]【】()<>«»*•·●○■□▪◆▼▲|#=~—–\-_.。…!?]+|[\s\[\]【】()<>«»*•·●■□▪◆▼▲|#=~—–\-_]+$")
 _NOISE = re.compile("[\u0000-\u0008\u000b-\u001f\u007f­​-‏‪-‮⁠-⁤︀-️﻿]")
@@ -50,6 +51,32 @@ SURROUNDINGS = {
     "advert": re.compile(r"^(?:广告|推荐|热点|延伸阅读|相关阅读|点击查看|更多阅读|推广|赞助|related|see also|read more|editor's pick|sponsored|advertisement|recommended)(?:\s*[\]】:|\-—>]+|\s+)\s*\S"),
 }
 _ANY_SURROUNDING = re.compile("|".join(f"(?P<{kind}>{p.pattern})" for kind, p in SURROUNDINGS.items()))
+# A literal of every alternative above: lines without one need no closer look.
+TRIGGERS = (
+    "位置 首页 home > » › here: cookie 小型文本文件 small&files [接受] 全部接受 必要项 accept&all 扫一扫 识别 二维码 公众号 转发到 转发: 分享给 分享到 分享: 一键分享 微群 稍后读 复制链接 share pass&it&on enjoyed 下载 打开 点击进入 推送 觉得有用 喜欢这篇 看完别忘 follow&us 订阅本站 "
+    "来源 发布时间 字号 浏览量 阅读 讯& min&read source: published 稿源 责任编辑 责编 编辑: 编辑& 作者: 记者 文/ 文| 校对 工号 by&  written&by reporting: editing: edited&by "
+    "郑重声明 郑重说明 郑重提示 免责声明 免责说明 特别声明 特别说明 特别提示 版权声明 版权说明 重要声明 重要说明 重要提示 风险提示 未经 凡注明 凡本站 欢迎各方引用 任何机构使用 编辑部保留 追究 版权 不构成 "
+    "all&material reproduction republished written&permission liability corrections&should rights&reserved copyright (c) c) © icp备 评论 参与讨论 comment to&join "
+    "上一篇 下一篇 上篇 下篇 previous next 广告 推荐 热点 延伸阅读 相关阅读 更多阅读 点击查看 推广 赞助 related see&also read&more editor's&pick sponsored advertisement recommended"
+).split()
+TRIGGERS = tuple(t.replace("&", " ") for t in TRIGGERS)
+_ANY_TRIGGER = re.compile("|".join(map(re.escape, TRIGGERS)))
+
+
+def _triggers():
+    """Tells the places at which triggers end; by an automaton where there is one."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [m.end() - 1 for m in _ANY_TRIGGER.finditer(text)]
+    automaton = ahocorasick.Automaton()
+    for trigger in TRIGGERS:
+        automaton.add_word(trigger, 0)
+    automaton.make_automaton()
+    return lambda text: [end for end, _ in automaton.iter(text)]
+
+
+_trigger_ends = _triggers()
 _HEADING = re.compile(
     r"^(?:编辑推荐|热门排行|热门推荐|相关推荐|相关新闻|猜你喜欢|大家都在看|点击榜|排行榜|最新文章|最新资讯|本周最受关注|更多.{1,12}内容|.{1,12}(?:最新|热榜|频道精选|排行)|readers also viewed|trending now|from the archive|you may also like|most read|more in [a-z ]+|top [a-z ]+ stories|latest stories|related stories|(?:popular|latest|more|trending|top|best) in .{1,30})$"
 )
@@ -70,7 +97,8 @@ STRONG = re.compile(
 )
 WEAK = re.compile(r"^(?:抱歉|对不起|很遗憾|sorry|notice:|we're sorry)|请(?:稍后|刷新|重试|检查网址|返回|更换)|稍后(?:再试|重试)|点击刷新|返回(?:首页|上一页)|刷新一下|请稍候|please try again|go back or search|\breload\b|验证码|人机验证|captcha|robot|no such item|异常|错误|\berror\b|超时|timed? ?out|loading")
 # A sentence that speaks about such messages instead of being one.
-TALK = re.compile(r"variable such as|template variable|模板变量|is filled in|字样|反面例子|写法|演示了|展示了|称为|当时只看到|的做法|showed that|known as|so-called|is called|was quoted|as an example")
+_QUOTED = re.compile(r'"[^"]{2,80}"|「[^」]{2,80}」|《[^》]{2,80}》')
+TALK = re.compile(r"改成更|\ba \d{3} [a-z ]{0,40}page\b|variable such as|template variable|模板变量|is filled in|字样|反面例子|写法|演示了|展示了|称为|当时只看到|的做法|showed that|known as|so-called|is called|was quoted|as an example")
 #: A sentence of an article that speaks about notices of web pages.
 TALK_OF_NOTICES = re.compile(r"这句话|的效力|措辞|改写.{0,12}提示|\breword\b|settles nothing")
 LOREM = frozenset(
@@ -131,7 +159,7 @@ NOT_BODY = frozenset([*SURROUNDINGS, "menu", "footer", "heading", "item", "repea
 def plain_lines(content: str) -> list[str]:
     """The lines in NFKC, without invisible characters, with single blanks."""
     if not content.isascii():
-        content = unicodedata.normalize("NFKC", content).translate(_QUOTES)
+        content = unicodedata.normalize("NFKC", content).replace("“", '"').replace("”", '"').replace("’", "'")
     if _NOISE.search(content):
         content = _NOISE.sub("", content)
     return [" ".join(line.split()) for line in content.split("\n")]
@@ -186,9 +214,8 @@ def cells(text: str) -> list[str]:
     return []
 
 
-def body_kind(raw: str, text: str) -> str:
+def body_kind(raw: str, text: str, lower: str) -> str:
     """prose, table, list, junk or small (a short line of an article), of a line that is no surrounding."""
-    lower = text.lower()
     dense = text.replace(" ", "")
     size = len(dense)
     if size > 40 and text[-1] in "。.!?" and not _MOJIBAKE.search(raw) and raw.count("\t") < 2 and len(_MARK.findall(text)) * 8 < size:
@@ -264,30 +291,46 @@ def _is_chinese_filler(lower: str) -> bool:
     return stock * 2 >= len(_HAN.findall(lower)) and stock >= 8
 
 
+def _told(line: Line, lower: str) -> int:
+    """Characters of the line that are a message. Of a line of prose only the sentences that are one count: short, and not by what they quote."""
+    if line.kind != "prose" or line.size <= 40:
+        return line.size if STRONG.search(lower) and not _quoting(lower) else 0
+    return sum(len(s.replace(" ", "")) for s in _SENTENCES.split(lower) if len(s) <= (60 if _HAN.search(s) else 120) and STRONG.search(s) and not _quoting(s))
+
+
+def _quoting(sentence: str) -> bool:
+    """The message stands in quotes within a longer sentence."""
+    rest = _QUOTED.sub("", sentence)
+    return sentence[0] not in "{<" and rest != sentence and len(rest) >= 8 and not STRONG.search(rest)
+
+
 def message_sizes(lines: list[Line], page: Page) -> None:
-    """The parts of the body that are messages, filler or holed sentences."""
+    """The parts of the body that are messages, filler or holed sentences. Longer lines are seen first; once messages can't be half of the body any more, none is looked for."""
     slots = empties = 0
-    # a message is a short line; where long lines are most of the body none can outweigh them
-    short = sum(x.size for x in lines if x.size <= LONGEST_MESSAGE) * 2 >= page.body_size
-    for line in lines:
-        if line.kind == "junk":
-            continue
+    whole = "\n".join(x.text for x in lines).lower()
+    holed, stuffed = bool(_HOLE.search(whole)), bool(_FILLER.search(whole))
+    open_ = sum(x.size for x in lines)  # what may still turn out to be messages
+    for line in sorted(lines, key=lambda x: -x.size):
         lower = line.text.lower()
-        if _HOLE.search(lower):
+        if holed and line.kind != "junk" and _HOLE.search(lower):
             for sentence in _SENTENCES.split(lower):
                 if not TALK.search(sentence):
                     slots += len(SLOT.findall(sentence))
                     empties += len(EMPTY_VALUE.findall(sentence))
-        if _FILLER.search(lower):
+        if stuffed and line.kind != "junk" and _FILLER.search(lower):
             words = _LATIN_WORD.findall(lower)
             if len(words) >= 4 and sum(w in LOREM for w in words) * 2 >= len(words) and not _HAN.search(lower) or _is_chinese_filler(lower):
                 page.message_size += line.size
                 continue
-        if short and line.size <= LONGEST_MESSAGE and not TALK.search(lower):
-            if STRONG.search(lower):
-                page.message_size += line.size
-            elif len(lower) <= 120 and WEAK.search(lower):
+        if line.kind != "junk" and line.size <= LONGEST_MESSAGE and open_ * 2 >= page.body_size and not TALK.search(lower):
+            if told := _told(line, lower):
+                page.message_size += told
+                open_ -= line.size - told
+                continue
+            if len(lower) <= 120 and WEAK.search(lower):
                 page.weak.append((mask(line.text), line.size))
+                continue
+        open_ -= line.size
     page.slots = slots + (empties if slots or empties > 1 else 0)
 
 
@@ -296,20 +339,23 @@ def read_page(content: str, repeated: frozenset[int] | set[int] = frozenset(), n
     page = Page()
     in_list = False
     texts = plain_lines(content)
+    lowers = [t.lower() for t in texts]
+    starts = list(accumulate((len(t) + 1 for t in lowers), initial=0))
+    hinted = {bisect_right(starts, end) - 1 for end in _trigger_ends("\n".join(lowers))}
     for number, raw in enumerate(content.split("\n"), 1):
-        text = texts[number - 1]
-        line = Line(number, text, size=len(text.replace(" ", "")))
+        text, lower = texts[number - 1], lowers[number - 1]
+        line = Line(number, text, size=len(text) - text.count(" "))
         page.lines.append(line)
         if not text:
             continue
         line.repeated = bool(numbers) and numbers.get(number) in repeated
-        if len(text) <= 170:
-            core = _EDGE.sub("", text.lower()) or text.lower()
-            found = _ANY_SURROUNDING.search(core)
+        if len(text) <= 170 and (number - 1 in hinted or line.repeated or len(text) <= 60 or text[-1] not in "。.!?"):
+            core = _EDGE.sub("", lower) or lower
+            found = _ANY_SURROUNDING.search(core) if number - 1 in hinted else None
             kind = found.lastgroup if found else menu_kind(core)
             if kind and ((kind == "crumb" and is_prose(core)) or TALK_OF_NOTICES.search(core) or (found and found.start() > 60 and is_prose(core))):
                 kind = None
-            if kind is None and _HEADING.match(core) and len(core) <= 40:
+            if kind is None and len(core) <= 40 and _HEADING.match(core):
                 kind = "heading"
             if kind is None and line.repeated:
                 kind = "repeated"
@@ -317,7 +363,7 @@ def read_page(content: str, repeated: frozenset[int] | set[int] = frozenset(), n
                 line.kind = kind
                 in_list = kind == "heading" or (in_list and kind in ("neighbour", "advert"))
                 continue
-        line.kind = body_kind(raw, text)
+        line.kind = body_kind(raw, text, lower)
         if line.kind == "list" and in_list:
             line.kind = "item"
         elif line.kind == "prose":

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_statistics
-from .cluster import shared_checkpoint, small_or_shuffled
+from .cluster import shared_checkpoint, small_or_shuffled, spread
 from .page_lines import read_page
 from .repeated_lines import document_lines, frequent_lines, least_support, line_identifiers
 
@@ -31,6 +31,7 @@ def pages(records: DataFrame) -> DataFrame:
     Null and empty contents have no row.
     """
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), F.coalesce("site_name", F.lit("")).alias("site_name"), "content").where("content <> ''")
+    rows = spread(rows)
     support = shared_checkpoint(least_support(rows))
     known = frequent_lines(document_lines(rows), support).groupBy("site_name").agg(F.collect_list("line").alias("known"))
     joined = rows.join(small_or_shuffled(known, 20_000), "site_name", "left").select("record_id", "site_name", "content", "known")
