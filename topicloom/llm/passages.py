@@ -15,18 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import shared_checkpoint, small_or_shuffled
-from .codepoints import LETTERS_DIGITS, Rolling, chunks, reduced, signed
+from .codepoints import LETTERS_DIGITS, Rolling, chunks, mixed, reduced, signed
 
 RUN = 5
 #: Contents of fewer reduced characters take no part.
 LEAST = 240
 SIMILAR = 0.6
-#: Letters of a passage at each level; a level is entered only by texts nearly all of whose passages are too common one level before.
-WIDTHS = (32, 96, 384)
+#: Letters of a passage.
+WIDTH = 32
 #: One passage in so many is a key.
 SAMPLE = 8
-#: A passage in more texts than this isn't expanded to pairs at its level (it is at the last one).
+#: A passage in more texts than this isn't expanded to pairs. A text CROWDED of whose passages are such is crowded:
+#: crowded texts meet by the bands of their signatures instead, which have no such bound.
 COMMON = 24
+CROWDED = 0.35
+#: A signature: the least hash of the text's runs in each of BINS bins, for SEEDS hash functions; ROWS bins make a band.
+#: Two texts of similarity s share a band with probability 1 - (1 - s ** ROWS) ** 160: 0.9995 at 0.6, 0.11 at 0.3.
+BINS, SEEDS, ROWS = 64, 16, 6
 #: Of the smaller text's sampled passages, the share that a candidate pair must have in common, and their least number.
 SHARE, FEWEST = 0.15, 3
 
@@ -87,6 +92,49 @@ def sampled_passages(texts: DataFrame, width: int, sample: int = SAMPLE) -> Data
     return texts.select("id", "content", F.col("tag").cast("int").alias("tag")).mapInArrow(passages, "h long, id long, n int, tag int")
 
 
+def bands(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(texts, bands) keys of the texts' signatures."""
+    n = len(starts) - 1
+    runs = Rolling(codes).windows(RUN)
+    owner = np.repeat(np.arange(n), np.diff(starts))[: len(runs)]
+    whole = np.arange(len(runs)) + RUN <= starts[owner + 1]
+    runs, owner = runs[whole], owner[whole]
+    keys = []
+    for seed in range(SEEDS):
+        g = mixed(runs + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
+        least = np.full(n * BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        np.minimum.at(least, owner * BINS + (g >> np.uint64(58)).astype(np.int64), g)
+        least = least.reshape(n, BINS)
+        for at in range(0, BINS - ROWS + 1, ROWS):
+            key = np.full(n, seed * BINS + at, dtype=np.uint64)
+            for column in range(at, at + ROWS):
+                key = mixed(key * np.uint64(0x100000001B3) + least[:, column])
+            keys.append(key)
+    return np.stack(keys, axis=1)
+
+
+def band_keys(texts: DataFrame) -> DataFrame:
+    """As sampled_passages, with a row for each band of each text's signature."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            tags = batch.column(2).to_numpy(zero_copy_only=False)
+            for at, part in chunks(batch.column(1).to_pylist()):
+                codes, starts = reduced(part, LETTERS_DIGITS)
+                long = np.flatnonzero(np.diff(starts) >= LEAST)
+                if not len(long):
+                    continue
+                found = bands(codes, starts)[long]
+                width = found.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(found.ravel())), pa.array(np.repeat(ids[at + long], width)), pa.array(np.full(found.size, width, np.int32)), pa.array(np.repeat(tags[at + long].astype(np.int32), width))],
+                    names=["h", "id", "n", "tag"],
+                )
+
+    return texts.select("id", "content", F.col("tag").cast("int").alias("tag")).mapInArrow(keys, "h long, id long, n int, tag int")
+
+
 def run_sets(texts: list[str]) -> list[np.ndarray]:
     codes, starts = reduced(texts, LETTERS_DIGITS)
     h = Rolling(codes).windows(RUN)
@@ -175,9 +223,9 @@ def common_batch(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def summed(counted: DataFrame) -> DataFrame:
-    """Partial counts summed per pair; pairs below the share and texts with few common passages are left out."""
+    """Partial counts summed per pair; pairs below the share and texts that aren't crowded are left out."""
     total = counted.groupBy("a", "b", "n").agg(F.sum("cnt").cast("int").alias("cnt"))
     na, nb = F.shiftright("n", 32), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF))
     enough = (F.col("a") != F.col("b")) & (F.col("cnt") >= F.greatest(F.lit(FEWEST), F.ceil(F.least(na, nb) * SHARE)))
-    crowded = (F.col("a") == F.col("b")) & (F.col("cnt") * 2 >= na)
+    crowded = (F.col("a") == F.col("b")) & (F.col("cnt") >= na * CROWDED)
     return total.where(enough | crowded)
