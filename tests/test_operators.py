@@ -168,3 +168,42 @@ def test_stream_keeps_the_first_arrival(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         arrivals.follow(spark, source, schema, out, str(tmp_path / "checkpoint"), lambda df: df).awaitTermination()
     assert sorted(r.ord for r in spark.read.parquet(out).collect()) == [1, 3, 5, 6]
+
+
+def test_analysis_falls_back_row_by_row(spark):
+    from topicloom.plans import analysis
+
+    rows = [("t", "u", "正文 " * 100, "kw"), ("t2", "u2", None, "kw"), ("t3", "u3", "x", "")]
+    df = spark.createDataFrame(rows, "title string, url string, content string, matched_keywords string").coalesce(1)
+    good = analysis.analysed(df, lambda prompts: ['```json\n{"ai_summary": "s", "ai_category": 1}\n```' for _ in prompts], "{title} {url} {content}")
+    found = {r.title: r for r in good.collect()}
+    assert (found["t"].ai_summary, found["t"].ai_category, found["t"].ai_reason) == ("s", "1", "") and found["t3"].ai_summary == ""
+
+    def broken(prompts):
+        raise OSError
+
+    found = {r.title: r.ai_summary for r in analysis.analysed(df, broken, "{title}").collect()}
+    assert found["t"] == ("正文 " * 100)[:200].strip() + ("" if found["t"].endswith("文") else " ") and found["t3"] == ""
+    assert analysis.is_true("false") is False and analysis.is_true("Yes") is True and analysis.is_true(1) is True
+    log = json.loads(analysis.task_log(spark.createDataFrame([("ok", "a"), ("ok", None)], "status string, site_name string"), {"topic": "t"}))
+    assert log["counts"] == {"status": {"ok": 2}, "site_name": {"": 1, "a": 1}}
+
+
+def test_pdfs_without_a_library_are_empty(spark, tmp_path):
+    from topicloom.sources import documents
+
+    (tmp_path / "a.pdf").write_bytes(b"not a pdf")
+    row = documents.read_pdfs(spark, str(tmp_path)).first()
+    assert (row.title, row.content) == ("a.pdf", "")
+
+
+def test_links_of_a_page(spark):
+    from topicloom.operators import discovery
+
+    html = '<a href="/news/2024/1.html">储能市场新变化</a><a href="/news/2024/1.html#x">储能市场新变化</a><a href="http://other.example/news/2.html">储能</a><a href="mailto:x">m</a><a href="/a.pdf">储能报告下载</a><a href="/about">关于</a>'
+    read = pages.read_pages(spark.createDataFrame([(1, "http://h.example/list", "h.example", html), (2, "http://h.example/", "h.example", None)], "id int, url string, domain string, html string"))
+    assert [r.link for r in discovery.same_site_links(read, "id", 5).collect()] == ["http://h.example/news/2024/1.html"]
+    assert [(r.link, r.score) for r in discovery.list_details(read, "id", ["储能"], 5).collect()] == [("http://h.example/news/2024/1.html", 50)]
+    found = {(r.id, r.rank, r.link, r.status) for r in discovery.search_candidates(read, "id", ["储能"], 5).collect()}
+    assert found == {(1, 1, "http://h.example/news/2024/1.html", "ok"), (2, None, None, "skipped")}
+    assert discovery.column_candidates(read, "id", 1).count() == 2

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, scoring, text, urls
-from .operators import quality, selection
+from .operators import discovery, quality, selection
 from .plans import curate
 from .sources import pages, tables
 
@@ -456,3 +456,71 @@ def published(spark, folder):
 def prefiltered(spark, folder):
     stub = lambda df: df.withColumns({"ai_score": F.length(text.text("title")) * 3, "ai_reason": F.lit("")})
     return curate.prefilter(table(spark, folder, "candidates"), stub, "candidate_id").select("candidate_id", "ai_score", "ai_keep")
+
+
+# Links of pages
+
+
+def _link_pages(spark, folder) -> DataFrame:
+    """Each candidate's search page: the candidate twice, an article of the site and a picture."""
+    rows = table(spark, folder, "candidates").where("search_url <> ''")
+    link = lambda href, words: F.concat(F.lit('<a href="'), _escaped(href), F.lit('">'), _escaped(words), F.lit("</a>"))
+    number = F.col("candidate_id").cast("string")
+    markup = F.concat(
+        link("candidate_url", "title"), link(F.concat(text.text("candidate_url"), F.lit("#again")), "title"), link(F.concat(F.lit("/news/2024/"), number, F.lit(".html")), "snippet"), link(F.concat(F.lit("/pic/"), number, F.lit(".PNG")), "title")
+    )
+    return pages.read_pages(rows.select("candidate_id", F.col("search_url").alias("url"), urls.url_domain("search_url").alias("domain"), markup.alias("html")))
+
+
+_ORIGIN = "regexp_extract(search_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+_LINKS_SQL = f"""p as (select *, {sql_host('search_url')} as h from candidates where search_url <> ''), l as (
+    select candidate_id, h, 0 as position, regexp_replace(trim(candidate_url), '#.*$', '') as link, {sql_clean('title')} as t from p where candidate_url <> ''
+    union all select candidate_id, h, 2, {_ORIGIN} || '/news/2024/' || candidate_id || '.html', {sql_clean('snippet')} from p
+    union all select candidate_id, h, 3, {_ORIGIN} || '/pic/' || candidate_id || '.PNG', {sql_clean('title')} from p),
+    k as (select *, {sql_host('link')} as g, lower(link) as u from l where regexp_matches(lower(link), '^https?://'))"""
+_INSIDE, _FILE = "(g = h or ends_with(g, '.' || h))", r"regexp_matches(u, '[.](doc|docx|xls|xlsx|zip|rar|jpg|jpeg|png|gif|pdf)(\?|$)')"
+_SKIP = f"(({' or '.join(f'contains(u, {q(p)})' for p in urls.SKIPPED_URL_PARTS)}) or ({' or '.join(f'contains(lower(t), {q(p)})' for p in urls.SKIPPED_TEXT_PARTS)}) or (length(t) < 6 and not regexp_matches(u, {YEAR_SQL})))"
+_ONCE = "row_number() over (partition by candidate_id, {what} order by position)"
+
+
+@query(
+    f"with {_LINKS_SQL}, f as (select *, {_ONCE.format(what='link')} as o from k where {_INSIDE} and g = h and not {_FILE} and not {_SKIP}), r as (select *, row_number() over (partition by candidate_id order by position) as rank from f where o = 1) select candidate_id, rank, link from r where rank <= 2"
+)
+def same_site_links(spark, folder):
+    return discovery.same_site_links(_link_pages(spark, folder), "candidate_id", 2)
+
+
+_TOPIC_SCORE = rf"(len({sql_hits("t || ' ' || link")}) * 30 + regexp_matches(u, '/(research|news|industry|wiki|channel)/.+\.html(\?|$)|/(information|report)/[0-9]+(/detail)?(\?|$)')::int * 15 + regexp_matches(link, {YEAR_SQL})::int * 5)"
+
+
+@query(
+    rf"""with {_LINKS_SQL}, f as (select *, case when len({sql_hits("t || ' ' || link")}) = 0 then 0 else {_TOPIC_SCORE} end as score from k where {_INSIDE}
+      and regexp_matches(u, '/(research|news|industry|wiki|channel)/.+\.html(\?|$)|/(information|report)/[0-9]+(/detail)?(\?|$)')), o as (select *, {_ONCE.format(what=sql_canonical("link"))} as o from f where score > 0),
+    r as (select *, row_number() over (partition by candidate_id order by score desc, position) as rank from o where o = 1) select candidate_id, rank, link, score from r where rank <= 3"""
+)
+def list_details(spark, folder):
+    return discovery.list_details(_link_pages(spark, folder), "candidate_id", KEYWORDS, 3)
+
+
+_LINK_SCORE = _CANDIDATE_SCORE.replace("coalesce(title, '')", "t").replace("coalesce(candidate_url, '')", "link").replace(sql_clean("title"), "t")
+
+
+@query(
+    f"""with {_LINKS_SQL}, f as (select *, case when len({sql_hits("t")}) = 0 then least({_LINK_SCORE}, 29) else {_LINK_SCORE} end as score from k where {_INSIDE} and not {_FILE}), o as (select *, {_ONCE.format(what='link')} as o from f where score > 0),
+    r as (select *, row_number() over (partition by candidate_id order by score desc, position) as rank from o where o = 1)
+    select p.candidate_id, r.rank, r.link, cast(r.score as int) as score, case when r.link is null then 'skipped' else 'ok' end as status from p left join r on p.candidate_id = r.candidate_id and r.rank <= 2"""
+)
+def search_discovery(spark, folder):
+    return discovery.search_candidates(_link_pages(spark, folder), "candidate_id", KEYWORDS, 2)
+
+
+_COLUMN_SCORE = f"(({sql_count("lower(t || ' ' || link)", scoring.COLUMN_WORDS)}) * 10 - ({sql_count("lower(t || ' ' || link)", scoring.NO_COLUMN_WORDS)}) * 20 + regexp_matches(link, {YEAR_SQL})::int * 3 + (length(t) >= 4)::int)"
+
+
+@query(
+    f"""with {_LINKS_SQL}, f as (select *, {_COLUMN_SCORE} as score from k where g = h and not {_FILE}), o as (select *, {_ONCE.format(what='link')} as o from f where score > 0),
+    r as (select *, row_number() over (partition by candidate_id order by score desc, position) as rank from o where o = 1)
+    select p.candidate_id, r.rank, r.link, cast(r.score as int) as score, case when r.link is null then 'skipped' else 'ok' end as status from p left join r on p.candidate_id = r.candidate_id and r.rank <= 2"""
+)
+def column_discovery(spark, folder):
+    return discovery.column_candidates(_link_pages(spark, folder), "candidate_id", 2)
