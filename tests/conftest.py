@@ -1,9 +1,13 @@
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
 
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent.parent), *filter(None, [os.environ.get("PYTHONPATH")])])
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

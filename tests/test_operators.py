@@ -207,3 +207,20 @@ def test_links_of_a_page(spark):
     found = {(r.id, r.rank, r.link, r.status) for r in discovery.search_candidates(read, "id", ["储能"], 5).collect()}
     assert found == {(1, 1, "http://h.example/news/2024/1.html", "ok"), (2, None, None, "skipped")}
     assert discovery.column_candidates(read, "id", 1).count() == 2
+
+
+def test_search_addresses_of_sites(spark):
+    from topicloom.operators import discovery
+
+    sites = spark.createDataFrame([("a", "https://www.yicai.com/"), ("b", "https://bg.qianzhan.com/x"), ("c", "https://none.example"), ("d", None)], "site_name string, url string")
+    found = {(r.site_name, r.search_url) for r in discovery.search_addresses(sites, ["储能 a"]).collect()}
+    word = "%E5%82%A8%E8%83%BD%20a"
+    assert found == {("a", f"https://www.yicai.com/search?keys={word}"), ("b", f"https://bg.qianzhan.com/report/search/k-{word}.html"), ("b", f"https://t.qianzhan.com/search/?q={word}")}
+
+
+def test_replaced_entries_keep_what_has_no_link(spark):
+    entries = spark.createDataFrame([("a", "u2", "page"), ("a", "u1", "page"), ("b", "v", "page"), ("c", "w", "page")], "site string, url string, page_type string")
+    found = spark.createDataFrame([("a", "l1", 5, 1), ("a", "l2", 9, 2), ("c", "l3", 9, 3)], "site string, link string, score int, ord int")
+    targets = spark.createDataFrame([("a",), ("b",), ("b",)], "site string")
+    rows = sorted(map(tuple, selection.replace_entries(entries, found, targets, "site", "ord", 1).collect()))
+    assert rows == [("a", "l2", "list"), ("b", "v", "page"), ("c", "w", "page")]

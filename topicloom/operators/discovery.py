@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, urls
 from ..functions.text import text
+from .selection import join_domain
 
 
 def links_of(read: DataFrame, key: str) -> DataFrame:
@@ -64,3 +65,13 @@ def column_candidates(read: DataFrame, key: str, limit: int) -> DataFrame:
     rows = links_of(read, key).where(urls.same_host("link", "base") & ~urls.has_file_ending("link")).withColumn("score", scoring.column_link_score("link", "link_text")).where("score > 0")
     found = best(first_of_each(rows, key, F.col("link")), key, limit, F.desc("score"), "position").select(key, "rank", "link", "score")
     return _with_diagnostics(read, found, key)
+
+
+def search_addresses(sites: DataFrame, queries: Sequence[str]) -> DataFrame:
+    """(site_name, query, search_url) for each site with search pages, by the first registered domain its address belongs to."""
+    spark = sites.sparkSession
+    domains = spark.createDataFrame(list(enumerate(urls.SEARCH_TEMPLATES)), "registered int, template_domain string")
+    templates = spark.createDataFrame([(d, i, t) for d, ts in urls.SEARCH_TEMPLATES.items() for i, t in enumerate(ts)], "template_domain string, position int, template string")
+    asked = spark.createDataFrame(list(enumerate(queries)), "number int, query string")
+    known = join_domain(sites, "url", domains, "template_domain", "registered", "inner").join(F.broadcast(templates), "template_domain")
+    return known.crossJoin(F.broadcast(asked)).select("site_name", "position", "number", "query", urls.search_address(F.col("template"), F.col("query")).alias("search_url"))  # a user's few words

@@ -105,3 +105,15 @@ def slice_rows(df: DataFrame, order: str, skip: int = 0, limit: int = 0) -> Data
     """Rows skip + 1 to skip + limit of a small table in order; limit 0 is no limit."""
     rows = df.orderBy(order).offset(skip) if skip else df.orderBy(order)
     return rows.limit(limit) if limit else rows
+
+
+def replace_entries(entries: DataFrame, found: DataFrame, targets: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """Entries (group, url, page_type) with those of the target groups replaced by their n best found links.
+
+    found has the columns group, link, score and an order of its own, `order`. A target group keeps its first entry (by url) where nothing was found; other groups stay.
+    """
+    small = dimension(targets.select(group).distinct())
+    first = keep_first(entries, F.col(group), ["url"]).join(small, group, "left_semi")
+    best = top_per_group(found.join(small, group, "left_semi"), group, "score", order, n).select(group, "link")
+    new = first.join(best, group, "left").withColumns({"page_type": F.when(F.col("link").isNull(), F.col("page_type")).otherwise("list"), "url": F.coalesce("link", "url")}).drop("link")
+    return entries.join(small, group, "left_anti").unionByName(new.select(*entries.columns))

@@ -347,11 +347,8 @@ def merged_in_order(spark, folder):
 def replaced_entries(spark, folder):
     """Sites with a list page get their best candidates as entries, or keep their first entry; the others stay."""
     entries = table(spark, folder, "whitelist").select("site_name", "url", "page_type")
-    targets = entries.where("page_type = 'list'").select("site_name").distinct()
-    first = selection.keep_first(entries, F.col("site_name"), ["url"]).join(selection.dimension(targets), "site_name", "left_semi")
-    best = selection.top_per_group(_scored(spark, folder).where("site_name is not null").select("site_name", "candidate_url", "score", "candidate_id"), "site_name", "score", "candidate_id", 3)
-    new = first.join(best, "site_name", "left").select("site_name", F.coalesce("candidate_url", "url").alias("url"), F.when(F.col("candidate_url").isNull(), F.col("page_type")).otherwise("list").alias("page_type"))
-    return entries.join(selection.dimension(targets), "site_name", "left_anti").unionByName(new)
+    found = _scored(spark, folder).where("site_name is not null").select("site_name", F.col("candidate_url").alias("link"), "score", "candidate_id")
+    return selection.replace_entries(entries, found, entries.where("page_type = 'list'"), "site_name", "candidate_id", 3)
 
 
 # Quality and diagnostics
