@@ -69,9 +69,9 @@ def column_candidates(read: DataFrame, key: str, limit: int) -> DataFrame:
 
 def search_addresses(sites: DataFrame, queries: Sequence[str]) -> DataFrame:
     """(site_name, query, search_url) for each site with search pages, by the first registered domain its address belongs to."""
-    spark = sites.sparkSession
-    domains = spark.createDataFrame(list(enumerate(urls.SEARCH_TEMPLATES)), "registered int, template_domain string")
-    templates = spark.createDataFrame([(d, i, t) for d, ts in urls.SEARCH_TEMPLATES.items() for i, t in enumerate(ts)], "template_domain string, position int, template string")
-    asked = spark.createDataFrame(list(enumerate(queries)), "number int, query string")
-    known = join_domain(sites, "url", domains, "template_domain", "registered", "inner").join(F.broadcast(templates), "template_domain")
-    return known.crossJoin(F.broadcast(asked)).select("site_name", "position", "number", "query", urls.search_address(F.col("template"), F.col("query")).alias("search_url"))  # a user's few words
+    domains = sites.sparkSession.createDataFrame(list(enumerate(urls.SEARCH_TEMPLATES)), "registered int, template_domain string")
+    known = join_domain(sites, "url", domains, "template_domain", "registered", "inner")
+    pages = F.array(*(F.struct(F.lit(d).alias("of"), F.lit(t).alias("template")) for d, templates in urls.SEARCH_TEMPLATES.items() for t in templates))
+    own = known.select("site_name", F.posexplode(F.filter(pages, lambda p: p["of"] == F.col("template_domain"))).alias("position", "page"))
+    asked = own.select("site_name", "position", "page", F.posexplode(F.array(*map(F.lit, queries)) if queries else F.array().cast("array<string>")).alias("number", "query"))
+    return asked.select("site_name", "position", "number", "query", urls.search_address(F.col("page.template"), F.col("query")).alias("search_url"))

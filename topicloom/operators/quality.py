@@ -65,13 +65,13 @@ def score_diagnostics(candidates: DataFrame, least: int) -> DataFrame:
     rows = candidates.select((F.col("status") == "ok").alias("ok"), whole_score("preliminary_score").alias("score"))
     by_score = rows.groupBy("ok", "score").agg(F.count("*").alias("n"))
     ok = F.coalesce("ok", F.lit(False))
-    total = by_score.agg(
-        F.sum("n").alias("candidate_row_count"),
-        F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("ok_candidate_count"),
-        F.sum(F.when(ok & (F.col("score") >= least), F.col("n")).otherwise(0)).alias("qualified_candidate_count"),
-        F.max(F.when(ok, F.col("score"))).alias("max_score"),
-    )
-    return by_score.where(ok).select("score", "n").crossJoin(F.broadcast(total))
+    total = {
+        "candidate_row_count": F.sum("n"),
+        "ok_candidate_count": F.sum(F.when(ok, F.col("n")).otherwise(0)),
+        "qualified_candidate_count": F.sum(F.when(ok & (F.col("score") >= least), F.col("n")).otherwise(0)),
+        "max_score": F.max(F.when(ok, F.col("score"))),
+    }
+    return by_score.where(ok).select("score", "n", *(by_score.agg(value.alias("x")).scalar().alias(name) for name, value in total.items()))
 
 
 def usable_by_site(results: DataFrame) -> DataFrame:

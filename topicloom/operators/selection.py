@@ -58,10 +58,10 @@ def select_candidates(df: DataFrame, group: str, url: str, score: str, order: st
     if total:
         sizes = ranked.groupBy(group).agg(F.count("*").alias("__n"))
         sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy(group)) - F.col("__n"))
-        ranked = ranked.join(dimension(sizes.select(group, "__before")), group).withColumn("__g", F.col("__before") + F.col("__c"))
+        ranked = ranked.join(sizes.select(group, "__before"), group).withColumn("__g", F.col("__before") + F.col("__c"))
         open_ = (F.col("__c") < per_group) if per_group else F.lit(True)
         cut = ranked.where((F.col("__g") >= total) & open_).agg(F.min("__g").alias("__cut"))
-        ranked = ranked.crossJoin(F.broadcast(cut)).where(F.col("__cut").isNull() | (F.col("__g") <= F.col("__cut"))).drop("__before", "__g", "__cut")
+        ranked = ranked.where(F.col("__g") <= F.coalesce(cut.scalar(), F.col("__g"))).drop("__before", "__g")
     return ranked.drop("__c")
 
 

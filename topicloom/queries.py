@@ -174,8 +174,8 @@ def skipped_links(spark, folder):
     "select s.subject, t.template, replace(t.template, '{query}', replace(url_encode(s.name_zh || ' ' || s.description), '%2F', '/')) as address from subjects s, t"
 )
 def search_addresses(spark, folder):
-    templates = spark.createDataFrame([("https://search.example/?q={query}",), ("https://search.example/k-{query}.html",)], "template string")
-    rows = table(spark, folder, "subjects").crossJoin(F.broadcast(templates))  # a fixed list of templates
+    templates = F.array(F.lit("https://search.example/?q={query}"), F.lit("https://search.example/k-{query}.html"))
+    rows = table(spark, folder, "subjects").withColumn("template", F.explode(templates))
     return rows.select("subject", "template", urls.search_address(F.col("template"), F.concat_ws(" ", "name_zh", "description")).alias("address"))
 
 
