@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import shared_checkpoint
+from .cluster import shared_checkpoint, small_or_shuffled
 from .codepoints import chunks, code_points
 from .tokens import LETTER, NUMBER, SPACE, VOCABULARY, class_table, encoder
 
@@ -82,13 +82,13 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
     """
     sizes = shared_checkpoint(sized(documents, vocabulary))
     plan = shared_checkpoint(budgets(sizes, targets, total))
-    taken = sizes.join(F.broadcast(plan.where("budget > 0").select("source", "epochs")), "source")
+    taken = sizes.join(small_or_shuffled(plan.where("budget > 0").select("source", "epochs")), "source")
     state = plan.where("rest > 0").select("source", "rest", F.lit(-1.0).alias("cut"))
     extra = F.lit(False)
     for k in range(PASSES):
         state = shared_checkpoint(_next_cut(sizes, state))
         mine = state.select("source", *(F.col(c).alias(f"{c}_{k}") for c in ("fit", "start", "stop")))
-        taken = taken.join(F.broadcast(mine), "source", "left")
+        taken = taken.join(small_or_shuffled(mine), "source", "left")
         extra = extra | F.coalesce((F.col("n_tokens") <= F.col(f"fit_{k}")) & (F.col("key") > F.col(f"start_{k}")) & (F.col("key") < F.col(f"stop_{k}")), F.lit(False))
         state = state.where("rest > 0").select("source", "rest", F.col("stop").alias("cut"))
     return taken.select("doc_id", "source", "n_tokens", (F.col("epochs") + extra.cast("int")).alias("copies")).where("copies > 0"), plan
@@ -96,11 +96,11 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
 
 def _next_cut(sizes: DataFrame, state: DataFrame) -> DataFrame:
     """(source, rest, cut) to (source, fit, start, stop, rest): of the documents of at most `fit` tokens with keys after start, those before stop fit; rest: what they leave."""
-    open_ = sizes.join(F.broadcast(state), "source").where("n_tokens <= rest and key > cut")
+    open_ = sizes.join(small_or_shuffled(state), "source").where("n_tokens <= rest and key > cut")
     ranges = open_.groupBy("source", "place").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     running = ranges.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("place")) - F.col("n"))
     crossed = running.where("before <= rest and rest < before + n").select("source", "place", "before")
-    edge = open_.join(F.broadcast(crossed), ["source", "place"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key", "doc_id")))
+    edge = open_.join(crossed, ["source", "place"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key", "doc_id")))
     stops = edge.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.col("key"))).alias("stop"), F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("upto"), F.min("before").alias("before"))
     every = ranges.groupBy("source").agg(F.sum("n").alias("all"))
     rows = state.join(stops, "source", "left").join(every, "source", "left")

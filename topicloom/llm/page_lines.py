@@ -357,7 +357,7 @@ def read_page(content: str, repeated: frozenset[int] | set[int] = frozenset(), n
                 kind = None
             if kind is None and len(core) <= 40 and _HEADING.match(core):
                 kind = "heading"
-            if kind is None and line.repeated:
+            if kind is None and line.repeated and not _EXPLAINING.match(text):
                 kind = "repeated"
             if kind:
                 line.kind = kind

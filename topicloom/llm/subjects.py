@@ -309,6 +309,6 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 def corpus_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(subject, n_docs, doc_share): how many documents have each subject, and of all documents which part; subjects without documents have 0."""
     found = document_subjects(documents, labels, subjects).groupBy("subject").agg(F.count("*").alias("n"))
-    total = documents.agg(F.count("*").alias("total"))
-    rows = subjects.select("subject").where("subject is not null").distinct().join(found, "subject", "left").crossJoin(F.broadcast(total))
+    total = documents.agg(F.count("*").alias("total")).scalar().alias("total")
+    rows = subjects.select("subject").where("subject is not null").distinct().join(found, "subject", "left").select("subject", "n", total)
     return rows.select("subject", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"), (F.coalesce("n", F.lit(0)) / F.nullif(F.col("total"), F.lit(0))).alias("doc_share"))
