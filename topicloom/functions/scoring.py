@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, matched_keywords, text
+from .text import clean_text, matched_keywords, once, text
 from .urls import YEAR, is_detail_page
 
 # Hints in addresses, words of columns, classes and markers.
@@ -27,13 +27,18 @@ BLOCKED_MARKERS = ("验证码", "请登录", "請登入", "登录后", "扫码
 NO_TITLE_HIT_LIMIT = 29
 
 
-def _count(value: Column, words: Iterable[str]) -> Column:
+def _sum(value: Column, words: Iterable[str]) -> Column:
     total = F.lit(0)
     for word in words:
         total = total + F.contains(value, F.lit(word)).cast("int")
     return total
 
 
+def _count(value: Column, words: Iterable[str]) -> Column:
+    """How many of the words stand in value."""
+    return once(value, lambda v: _sum(v, words))
+
+
 def whole_score(value: Column | str) -> Column:
     """A stored score as int; 0 where it is no whole number."""
     digits = F.regexp_extract(F.trim(text(value)), "^[+-]?[0-9]+$", 0)
@@ -64,9 +69,8 @@ def column_link_score(url: Column | str, link_text: Column | str) -> Column:
 def content_class(title: Column | str, content: Column | str, classes: Mapping[str, Sequence[str]] = CLASS_WORDS) -> Column:
     """The class most of whose words stand in title and head of the content; the first of equals; OTHER_CLASS without any."""
     haystack = F.concat_ws(" ", text(title), F.substring(text(content), 1, 1000))
-    ranked = F.array(*(F.struct(_count(haystack, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(classes.items())))
-    best = F.array_max(ranked)
-    return F.when(best["n"] > 0, best["name"]).otherwise(OTHER_CLASS)
+    ranked = lambda h: F.array(*(F.struct(_sum(h, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(classes.items())))
+    return once(once(haystack, lambda h: F.array_max(ranked(h))), lambda best: F.when(best["n"] > 0, best["name"]).otherwise(OTHER_CLASS))
 
 
 def looks_blocked(title: Column | str, content: Column | str) -> Column:

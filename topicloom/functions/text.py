@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +25,11 @@ def text(value: Column | str) -> Column:
     return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once per row however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean_text(value: Column | str) -> Column:
     """Runs of Unicode white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(text(value), SPACE, " "))
@@ -82,8 +87,9 @@ def context_of(page: Column, needle: Column, before: int = 400, after: int = 120
 
 def matched_keywords(value: Column | str, keywords: Sequence[str]) -> Column:
     """The keywords that the text contains, whatever their case, in their order."""
-    lower = F.lower(text(value))
-    return F.array_compact(F.array(*(F.when(F.contains(lower, F.lit(k.lower())), F.lit(k)) for k in keywords))) if keywords else F.array().cast("array<string>")
+    if not keywords:
+        return F.array().cast("array<string>")
+    return once(F.lower(text(value)), lambda lower: F.array_compact(F.array(*(F.when(F.contains(lower, F.lit(k.lower())), F.lit(k)) for k in keywords))))
 
 
 # Topics are a few words that a user types; they are taken apart before any plan is made.
