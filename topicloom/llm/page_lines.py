@@ -38,7 +38,7 @@ SURROUNDINGS = {
     "crumb": re.compile(r"^(?:当前位置|您的位置|所在位置|位置)\s*:|^(?:首页|home)\s*[/>»›]|^[\w ]{1,16}(?:频道)?\s*(?:>>|»)\s*\w|you are here:"),
     "cookie": re.compile(r"cookie|小型文本文件|keeps? small files|uses? small files|\[接受\]|全部接受|仅必要项|accept all"),
     "share": re.compile(
-        r"^扫一扫|长按识别|二维码|公众号|转发到|分享给|分享到|一键分享|^转发:|^分享:|微群|稍后读|复制链接|^share (?:via|this|on)|^enjoyed this|pass it on|\bshares?\)|^下载.{1,30}app|^打开.{1,30}客户端|点击进入.{1,30}专题|接收推送|^觉得有用|^喜欢这篇|^看完别忘|follow us|订阅本站"
+        r"^扫一扫|长按识别|二维码|公众号|转发到|分享给|分享到|一键分享|^转发:|^分享:|微群|稍后读|复制链接|^share (?:via|this|on)|^enjoyed this|pass it on|\bshares?\)|^下载.{1,30}app|^打开.{1,30}客户端|点击进入.{1,30}专题|接收推送|^觉得有用|^喜欢这篇|^看完别忘|^follow .{1,40} (?:for|on)\b|follow us|^(?:subscribe to|sign up for)\b|订阅本站"
     ),
     "source": re.compile(rf"^来源:|发布时间:|字号:|浏览量:|^{_DATE}\s+\d{{1,2}}:\d{{2}}\s*来源|阅读\s*\d+$|^.{{1,40}}讯\s*{_DATE}|·\s*[\d,]+\s*min read|^source:|^published(?: on)? |稿源:"),
     "byline": re.compile(r"^责任编辑|^本期责编|^责编|^编辑[ :]|^作者:|^记者[ :]|^文[/|]|校对\s*\d|工号\s*\d|^by (?:desk|staff|our) |^by [a-z]\. ?[a-z]+$|^written by|^reporting:|editing:|^edited by"),
@@ -53,7 +53,7 @@ SURROUNDINGS = {
 _ANY_SURROUNDING = re.compile("|".join(f"(?P<{kind}>{p.pattern})" for kind, p in SURROUNDINGS.items()))
 # A literal of every alternative above: lines without one need no closer look.
 TRIGGERS = (
-    "位置 首页 home > » › here: cookie 小型文本文件 small&files [接受] 全部接受 必要项 accept&all 扫一扫 识别 二维码 公众号 转发到 转发: 分享给 分享到 分享: 一键分享 微群 稍后读 复制链接 share pass&it&on enjoyed 下载 打开 点击进入 推送 觉得有用 喜欢这篇 看完别忘 follow&us 订阅本站 "
+    "位置 首页 home > » › here: cookie 小型文本文件 small&files [接受] 全部接受 必要项 accept&all 扫一扫 识别 二维码 公众号 转发到 转发: 分享给 分享到 分享: 一键分享 微群 稍后读 复制链接 share pass&it&on enjoyed 下载 打开 点击进入 推送 觉得有用 喜欢这篇 看完别忘 follow& subscribe&to sign&up&for 订阅本站 "
     "来源 发布时间 字号 浏览量 阅读 讯& min&read source: published 稿源 责任编辑 责编 编辑: 编辑& 作者: 记者 文/ 文| 校对 工号 by&  written&by reporting: editing: edited&by "
     "郑重声明 郑重说明 郑重提示 免责声明 免责说明 特别声明 特别说明 特别提示 版权声明 版权说明 重要声明 重要说明 重要提示 风险提示 未经 凡注明 凡本站 欢迎各方引用 任何机构使用 编辑部保留 追究 版权 不构成 "
     "all&material reproduction republished written&permission liability corrections&should rights&reserved copyright (c) c) © icp备 评论 参与讨论 comment to&join "
@@ -93,7 +93,7 @@ STRONG = re.compile(
     r"^\{\s*\"(?:code|error|status|msg|message)\"|^<(?:!doctype|html|head|body|center|h1|hr|title)\b|^webfront/|^nginx/|^reference:\s*[0-9a-f]{6}|^request id|\bray (?:id)?\s*:?\s*[0-9a-f]{6}|checking your (?:connection|browser)|"
     r"\b(?:enable|turn on|allow|activate|requires?|need)\b.{0,24}\b(?:javascript|js|scripts?|scripting)\b|\b(?:javascript|scripts?|scripting|js)\b.{0,16}\b(?:is|are|has been)\b.{0,12}\b(?:disabled|switched off|turned off|blocked|required|off)\b|without (?:javascript|js) enabled|^noscript\b|"
     r"^エラー|見つかりません|no se encuentra|introuvable|nicht gefunden|non trovata|не найдена|찾을 수 없|"
-    r"占位(?:文本|文字|内容)|待编辑|请输入正文|段落文字|示例文字|排版预览|样张|尚未录入|暂无内容|填写正文|正式上线前|placeholder text|sample copy|to be written|replace before launch|insert text here|your text here|text goes here"
+    r"占位(?:文本|文字|内容)|待编辑|请输入正文|段落文字|示例文字|排版预览|样张|尚未录入|暂无内容|填写正文|正式上线前|请勿发布|测试稿|placeholder text|sample copy|to be written|replace before launch|insert text here|your text here|text goes here"
 )
 WEAK = re.compile(r"^(?:抱歉|对不起|很遗憾|sorry|notice:|we're sorry)|请(?:稍后|刷新|重试|检查网址|返回|更换)|稍后(?:再试|重试)|点击刷新|返回(?:首页|上一页)|刷新一下|请稍候|please try again|go back or search|\breload\b|验证码|人机验证|captcha|robot|no such item|异常|错误|\berror\b|超时|timed? ?out|loading")
 # A sentence that speaks about such messages instead of being one.
@@ -118,8 +118,8 @@ _LEADING = re.compile(r"^(?:[一二三四五六七八九十]+|\d{1,2})\s*[、.,)
 _EXPLAINING = re.compile(r"^[(（]?(?:图|表|单位|注|数据来源|资料来源)|^[(]?(?:figure|fig|table|units?|note|photo|chart|source)\b", re.I)
 _SENTENCES = re.compile(r"(?<=[。!?])|(?<=[.!?]) ")
 _HOLE = re.compile(r"@model|[{<\[【]|%[a-z]|__[a-z]|null|undefined|nan|none|xxxx")
-_FILLER = re.compile(r"lorem|dolor|ipsum|段落文字|purus|tellus|varius|测试|正文|内容|样例|占位|说明")
-_STOCK = re.compile("段落文字|待编辑|请输入正文|正文内容|内容测试|测试一下|测试数据|测试内容|占位段|占位|示例文字|图片说明|样例句子|内容待更新|待更新|样例|正文|内容|测试|文字")
+_FILLER = re.compile(r"lorem|dolor|ipsum|purus|tellus|varius|测试|正文|内容|样例|示例|占位|说明|标题|段落|文字")
+_STOCK = re.compile("副标题|标题占位|标题|这里是段落|段落文字|待编辑|请输入正文|正文内容|内容测试|测试一下|测试数据|测试内容|占位段|占位|示例文字|图片说明|样例句子|内容待更新|待更新|样例|正文|内容|测试|文字")
 LONGEST_MESSAGE = 250
 
 _BASE64 = re.compile(r"^[A-Za-z0-9+/_\-]{32,}={0,2}$")
@@ -287,8 +287,12 @@ def mask(text: str) -> str:
 
 def _is_chinese_filler(lower: str) -> bool:
     """Stock words of page tests, over and over."""
+    han = "".join(_HAN.findall(lower))
     stock = sum(len(m) for m in _STOCK.findall(lower))
-    return stock * 2 >= len(_HAN.findall(lower)) and stock >= 8
+    if stock * 2 >= len(han) and stock >= 8:
+        return True
+    pairs = [han[i : i + 2] for i in range(len(han) - 1)]
+    return len(pairs) >= 11 and len(set(pairs)) * 2 <= len(pairs) and len(lower.split()) <= 3
 
 
 def _told(line: Line, lower: str) -> int:
