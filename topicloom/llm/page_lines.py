@@ -295,9 +295,9 @@ def _is_chinese_filler(lower: str) -> bool:
     return len(pairs) >= 11 and len(set(pairs)) * 2 <= len(pairs) and len(lower.split()) <= 3
 
 
-def _told(line: Line, lower: str) -> int:
+def _told(line: Line, kind: str, lower: str) -> int:
     """Characters of the line that are a message. Of a line of prose only the sentences that are one count: short, and not by what they quote."""
-    if line.kind != "prose" or line.size <= 40:
+    if kind != "prose" or line.size <= 40:
         return line.size if STRONG.search(lower) and not _quoting(lower) else 0
     return sum(len(s.replace(" ", "")) for s in _SENTENCES.split(lower) if len(s) <= (60 if _HAN.search(s) else 120) and STRONG.search(s) and not _quoting(s))
 
@@ -309,30 +309,38 @@ def _quoting(sentence: str) -> bool:
 
 
 def message_sizes(lines: list[Line], page: Page) -> None:
-    """The parts of the body that are messages, filler or holed sentences. Longer lines are seen first; once messages can't be half of the body any more, none is looked for."""
+    """The parts of the body that are messages, filler or holed sentences. Longer lines are seen first; once messages can't be half of the body any more, none is looked for.
+
+    A line that the site repeats is surroundings by that alone: it is body only as far as it is a message or filler, so that the most recurrent ones count.
+    """
     slots = empties = 0
     whole = "\n".join(x.text for x in lines).lower()
     holed, stuffed = bool(_HOLE.search(whole)), bool(_FILLER.search(whole))
     open_ = sum(x.size for x in lines)  # what may still turn out to be messages
     for line in sorted(lines, key=lambda x: -x.size):
         lower = line.text.lower()
-        if holed and line.kind != "junk" and _HOLE.search(lower):
+        again = line.kind == "repeated"
+        kind = body_kind(line.text, line.text, lower) if again else line.kind
+        if holed and kind != "junk" and _HOLE.search(lower):
             for sentence in _SENTENCES.split(lower):
                 if not TALK.search(sentence):
                     slots += len(SLOT.findall(sentence))
                     empties += len(EMPTY_VALUE.findall(sentence))
-        if stuffed and line.kind != "junk" and _FILLER.search(lower):
+        if stuffed and kind != "junk" and _FILLER.search(lower):
             words = _LATIN_WORD.findall(lower)
             if len(words) >= 4 and sum(w in LOREM for w in words) * 2 >= len(words) and not _HAN.search(lower) or _is_chinese_filler(lower):
                 page.message_size += line.size
+                page.body_size += line.size * again
                 continue
-        if line.kind != "junk" and line.size <= LONGEST_MESSAGE and open_ * 2 >= page.body_size and not TALK.search(lower):
-            if told := _told(line, lower):
+        if kind != "junk" and line.size <= LONGEST_MESSAGE and open_ * 2 >= page.body_size and not TALK.search(lower):
+            if told := _told(line, kind, lower):
                 page.message_size += told
+                page.body_size += line.size * again
                 open_ -= line.size - told
                 continue
             if len(lower) <= 120 and WEAK.search(lower):
                 page.weak.append((mask(line.text), line.size))
+                page.body_size += line.size * again
                 continue
         open_ -= line.size
     page.slots = slots + (empties if slots or empties > 1 else 0)
@@ -412,14 +420,15 @@ def settle(page: Page) -> None:
     """The page's kind by what most of its body is; message sizes."""
     body = [x for x in page.lines if x.kind in ("prose", "table", "list", "junk", "small")]
     page.body_size = sum(x.size for x in body)
-    message_sizes(body, page)
+    size = page.body_size
+    message_sizes(body + [x for x in page.lines if x.kind == "repeated"], page)
     if not body:
         return
     by: dict[str, int] = {}
     for x in body:
         by[x.kind] = by.get(x.kind, 0) + x.size
     kind = max(by, key=by.get)
-    if kind != "prose" and by[kind] * 2 > page.body_size and (len(body) > 2 or kind == "junk" or page.body_size > 60):
+    if kind != "prose" and by[kind] * 2 > size and (len(body) > 2 or kind == "junk" or size > 60):
         page.kind = kind
     elif kind == "prose":
         cut_to_body(page)
