@@ -3,11 +3,12 @@
 Vertical partitioning: the global order of sampled passages (by hash) is cut into fragments, one per
 partition; each fragment counts, for every pair of texts, the passages they share in it; the partial
 counts are summed per pair, and pairs with a large enough share are checked exactly on the sets of
-all their runs of five characters.
+all their runs of five characters. All texts meet by the bands of their signatures besides, which need no
+unedited stretches.
 
 Exact copies are one class with one representative, so that copies add no passages. A passage found in
-more than COMMON texts is no key; texts many of whose passages are such - near copies by the thousand -
-are counted by the bands of their signatures instead, each band expanded in blocks of bounded size.
+more than COMMON texts is no key; a band of many texts - near copies by the thousand - is expanded in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from .cluster import shared_checkpoint, small_or_shuffled
 from .passages import COMMON, PAIR_SCHEMA, WIDTH, PairCounts, band_keys, common_batch, content_keys, pair_batch, sampled_passages, similar_pairs, summed
 
+#: The count that marks a row (key, id) of a band of too many texts among partial counts.
+LARGE = -1
+
 
 def classes(texts: DataFrame) -> DataFrame:
     """(id, content) to (id, rep): rep is the least id with the same reduced content. Contents too short have no row."""
@@ -120,16 +124,58 @@ def count_blocks(passages: DataFrame, block: int = COMMON) -> DataFrame:
     return rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(count, PAIR_SCHEMA)
 
 
+def count_bands(bands: DataFrame, block: int = COMMON) -> DataFrame:
+    """As count_blocks, with one shuffle of all keys: groups of at most `block` texts are expanded where they are, only the rows of larger ones go on to count_blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = PairCounts()
+        held_h, held_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        over = None
+
+        def large(h: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            return pair_batch((h, ids, np.zeros(len(h), np.int64), np.full(len(h), LARGE)))
+
+        for batch in batches:
+            h, ids = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for x, k in ((held_h, 0), (held_id, 1)))
+            if not len(h):
+                continue
+            first, size = _equal_groups(h)
+            tail = first[-1]
+            held_h, held_id = h[tail:], ids[tail:]
+            crowded = size > block
+            if over is not None and h[0] == over:
+                crowded[0] = True
+            over = h[tail] if crowded[-1] else None
+            if over is not None:
+                yield large(held_h, held_id)
+                held_h, held_id = held_h[:0], held_id[:0]
+            first, size, crowded = first[:-1], size[:-1], crowded[:-1]
+            expand(counts, ids, np.zeros(len(ids), np.int32), first[~crowded], size[~crowded])
+            if crowded.any():
+                rows = np.repeat(crowded, size)
+                yield large(h[:tail][rows], ids[:tail][rows])
+            if counts.full():
+                yield pair_batch(counts.take())
+        if len(held_h):
+            expand(counts, held_id, np.zeros(len(held_id), np.int32), np.array([0]), np.array([len(held_h)]))
+        if (last := counts.take()) is not None:
+            yield pair_batch(last)
+
+    counted = shared_checkpoint(bands.select("h", "id").repartition("h").sortWithinPartitions("h").mapInArrow(count, PAIR_SCHEMA))
+    small = counted.where(F.col("cnt") != LARGE).select("a", "b")
+    hot = counted.where(F.col("cnt") == LARGE).select(F.col("a").alias("h"), F.col("b").alias("id"), F.lit(0).alias("n"))
+    return small if hot.isEmpty() else small.union(count_blocks(hot).select("a", "b"))
+
+
 def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """(id, content) of different contents to candidate pairs (a, b), a < b; a checkpoint."""
+    """(id, content) of different contents to candidate pairs (a, b), a < b; a checkpoint.
+
+    Every text goes into the bands: two texts, crowded or not, meet with the probability that their similarity
+    gives, wherever their edits are. Passages add the pairs that share a part of the smaller text.
+    """
     texts = texts.select("id", "content", F.lit(0).alias("tag"))
-    counted = shared_checkpoint(summed(count_fragments(sampled_passages(texts, WIDTH))))
-    found = counted.where("a < b").select("a", "b")
-    crowded = counted.where("a = b").select(F.col("a").alias("id"))
-    if crowded.isEmpty():
-        return found.distinct()
-    signed = count_blocks(band_keys(texts.join(small_or_shuffled(crowded), "id", "left_semi")))
-    return shared_checkpoint(found.union(signed.where("a < b").select("a", "b")).distinct())
+    found = summed(count_fragments(sampled_passages(texts, WIDTH))).where("a < b").select("a", "b")
+    return shared_checkpoint(found.union(count_bands(band_keys(texts)).where("a < b")).distinct())
 
 
 def near_duplicate_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
