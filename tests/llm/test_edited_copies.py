@@ -29,3 +29,14 @@ def test_heavily_edited_copies_of_a_hot_text(spark):
         rows += [replaced(rng, base, rng.randint(1, 2)) for _ in range(30)] + [replaced(rng, base, rng.randint(22, 44)) for _ in range(10)]
     found, n = recall(spark, list(enumerate(rows)))
     assert n > 1500 and found >= 0.995
+
+
+def test_scattered_edits(spark):
+    rng = random.Random(6)
+    rows = []
+    for size in (240, 400, 800):
+        for _ in range(60):
+            base = text_of(rng, size + 5)
+            rows += [base, replaced(rng, base, int(size * rng.uniform(0.04, 0.055)))]
+    found, n = recall(spark, list(enumerate(rows)))
+    assert n > 100 and found >= 0.99
