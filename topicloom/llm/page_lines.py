@@ -121,6 +121,8 @@ _HOLE = re.compile(r"@model|[{<\[【]|%[a-z]|__[a-z]|null|undefined|nan|none|xxx
 _FILLER = re.compile(r"lorem|dolor|ipsum|purus|tellus|varius|测试|正文|内容|样例|示例|占位|说明|标题|段落|文字")
 _STOCK = re.compile("副标题|标题占位|标题|这里是段落|段落文字|待编辑|请输入正文|正文内容|内容测试|测试一下|测试数据|测试内容|占位段|占位|示例文字|图片说明|样例句子|内容待更新|待更新|样例|正文|内容|测试|文字")
 LONGEST_MESSAGE = 250
+#: Characters of the n-grams by which a body repeats itself.
+GRAM = 8
 
 _BASE64 = re.compile(r"^[A-Za-z0-9+/_\-]{32,}={0,2}$")
 _MOJIBAKE = re.compile("�|锟斤拷|烫烫|屯屯|Ã|Â|ï¼|â€|鐨勬|鎶|鍙戝|浜у|澧炲|杩|涓")
@@ -416,6 +418,30 @@ def cut_to_body(page: Page) -> None:
             line.kind = "item"
 
 
+def repeated_size(body: list[Line]) -> float:
+    """Characters of the body that say again what it has said: lines that stand before, and n-grams seen before, of prose in all of it and of a long item in itself (items may be alike)."""
+    lines: set[str] = set()
+    grams: set[str] = set()
+    again = 0.0
+    for x in body:
+        if x.kind not in ("prose", "list") and (x.kind != "table" or any(c.isdigit() for c in x.text)):
+            continue
+        if x.text in lines:
+            again += x.size
+            continue
+        lines.add(x.text)
+        n = len(x.text) - GRAM + 1
+        if n > 0 and (x.kind == "prose" or x.size >= 60):
+            own = {x.text[i : i + GRAM] for i in range(n)}
+            if x.kind == "prose":
+                new = len(own - grams)
+                grams |= own
+            else:
+                new = len(own)
+            again += x.size * (n - new) / n
+    return again
+
+
 def settle(page: Page) -> None:
     """The page's kind by what most of its body is; message sizes."""
     body = [x for x in page.lines if x.kind in ("prose", "table", "list", "junk", "small")]
@@ -428,7 +454,9 @@ def settle(page: Page) -> None:
     for x in body:
         by[x.kind] = by.get(x.kind, 0) + x.size
     kind = max(by, key=by.get)
-    if kind != "prose" and by[kind] * 2 > size and (len(body) > 2 or kind == "junk" or size > 60):
+    if kind != "junk" and size >= 60 and (by.get("junk", 0) + repeated_size(body)) * 2 > size:
+        page.kind = "junk"
+    elif kind != "prose" and by[kind] * 2 > size and (len(body) > 2 or kind == "junk" or size > 60):
         page.kind = kind
     elif kind == "prose":
         cut_to_body(page)
