@@ -111,11 +111,48 @@ def test_segments_merge_logarithmically():
 
     segments = history.Segments()
     for k in range(64):
-        segments.add(np.arange(10) * 3 + k % 3, np.full(10, k), np.full(10, 10))
+        segments.add(np.arange(10) * 3 + k % 3, np.full(10, k), np.full(10, k))
     assert len(segments.parts) <= 7 and sum(len(p[0]) for p in segments.parts) == 640
     assert sum(int((e - b).sum()) for _, b, e in segments.search(np.array([3]))) == sum(k % 3 == 0 for k in range(64))
 
 
+@pytest.mark.parametrize(("seed", "hot"), [(4, 0), (5, 90)])
+def test_batches_added_to_history_equal_one_pass(spark, tmp_path, seed, hot):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(4), rng.choice([f"http://a.example/{i % 30}?utm_x={i}", None, ""]), t) for i, t in collection(seed, hot)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "record_id long, batch_no int, url string, content string, page string")
+    kept = history.History(spark, f"file://{tmp_path}/history", slices=16)
+    found = {r.record_id for b in range(4) for r in kept.add(b, df.where(f"batch_no = {b}").drop("batch_no")).collect()}
+    assert found == {r.record_id for r in history.delivered_before(df).collect()} and found
+    assert kept.batches() == [0, 1, 2, 3] and len(kept.segments()) < 4
+    with pytest.raises(ValueError):
+        kept.add(3, df)
+    assert kept.add(9, df.drop("batch_no").limit(0)).count() == 0
+
+
+def test_a_new_batch_opens_no_text_of_others_than_candidates(spark, tmp_path):
+    import shutil
+
+    rng = random.Random(8)
+    texts = [[text_of(rng, 300) for _ in range(10)] for _ in range(4)]
+    folder = tmp_path / "history"
+    kept = history.History(spark, f"file://{folder}", slices=8)
+    schema = "record_id long, url string, content string"
+    for b in range(4):
+        kept.add(b, spark.createDataFrame([(b * 100 + i, None, t) for i, t in enumerate(texts[b])], schema))
+    for b in range(4):  # every text gone but that of the one candidate's part
+        for part in (folder / "texts" / f"batch={b}").glob("part=*"):
+            if not (b == 1 and _holds(spark, part, 103)):
+                shutil.rmtree(part)
+    new = [edited(rng, texts[1][3], 2), text_of(rng, 300), texts[0][5]]
+    again = history.History(spark, f"file://{folder}")  # as found in the folder
+    assert sorted(r.record_id for r in again.add(4, spark.createDataFrame([(900 + i, None, t) for i, t in enumerate(new)], schema)).collect()) == [900, 902]
+
+
+def _holds(spark, part, record):
+    return spark.read.parquet(f"file://{part}").where(f"id = {record}").count() > 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cutoffs_equal_brute_force(spark, seed):
     rng = random.Random(seed)

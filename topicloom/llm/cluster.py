@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a checkpoint in spark.checkpoint.dir, which every executor shares.
-
-    Only where a session has no such folder (tests on one machine) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the session's spark.checkpoint.dir. Where none is set, a temporary one on a single machine; an error on a cluster."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df by a checkpoint in the shared folder (see checkpoint_folder)."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

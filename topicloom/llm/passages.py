@@ -1,9 +1,4 @@
-"""Passages: hashed runs of a reduced text, the keys by which near copies meet; and the exact check of a pair.
-
-A pair whose 5-letter runs have 0.6 of their union in common keeps, between two edits, stretches of
-unedited text; every run of `width` letters within one is a passage of both. Passages are sampled by
-their own hash, so both texts keep the same ones.
-"""
+"""Keys of whole contents, counts of what pairs have in common, and the exact check of pairs."""
 
 from __future__ import annotations
 
@@ -15,40 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import shared_checkpoint, small_or_shuffled
-from .codepoints import LETTERS_DIGITS, Rolling, chunks, mixed, reduced, signed
+from .codepoints import LETTERS_DIGITS, Rolling, chunks, reduced, signed
+from .signatures import LEAST_LETTERS, RUN
 
-RUN = 5
-#: Contents of fewer reduced characters take no part.
-LEAST = 240
 SIMILAR = 0.6
-#: Letters of a passage.
-WIDTH = 32
-#: One passage in so many is a key.
-SAMPLE = 8
-#: A passage in more texts than this isn't expanded to pairs. A text CROWDED of whose passages are such is crowded:
-#: crowded texts meet by the bands of their signatures instead, which have no such bound.
-COMMON = 24
-CROWDED = 0.35
-#: A signature: the least hash of the text's runs in each of BINS bins, for SEEDS hash functions; ROWS bins make a band.
-#: Two texts of similarity s share a band with probability 1 - (1 - s ** ROWS) ** 160: 0.9995 at 0.6, 0.11 at 0.3.
-BINS, SEEDS, ROWS = 64, 16, 6
-#: Of the smaller text's sampled passages, the share that a candidate pair must have in common, and their least number.
-SHARE, FEWEST = 0.15, 3
-
-
-def _schema(*fields: tuple[str, pa.DataType]) -> pa.Schema:
-    return pa.schema(list(fields))
+#: Texts on each side of a cell in which pairs are checked, about.
+CELL = 1000
 
 
 def content_keys(texts: DataFrame) -> DataFrame:
-    """(id, content) to (id, k1, k2): a 128-bit key of each reduced content of LEAST characters or more."""
+    """(id, content) to (id, k1, k2): a 128-bit key of each reduced content of LEAST_LETTERS characters or more."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in chunks(batch.column(1).to_pylist()):
                 codes, starts = reduced(part, LETTERS_DIGITS)
-                long = np.diff(starts) >= LEAST
+                long = np.diff(starts) >= LEAST_LETTERS
                 begin, end = starts[:-1][long], starts[1:][long]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -62,79 +40,6 @@ def content_keys(texts: DataFrame) -> DataFrame:
     return texts.select("id", "content").where("id is not null and content is not null").mapInArrow(keys, "id long, k1 long, k2 long")
 
 
-def sampled_passages(texts: DataFrame, width: int, sample: int = SAMPLE) -> DataFrame:
-    """(id, content, tag) to a row (h, id, n, tag) for each distinct sampled passage of each text; n: how many it has."""
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            tags = batch.column(2).to_numpy(zero_copy_only=False)
-            for at, part in chunks(batch.column(1).to_pylist()):
-                codes, starts = reduced(part, LETTERS_DIGITS)
-                if len(codes) < width:
-                    continue
-                h = Rolling(codes).windows(width)
-                place = np.flatnonzero(h % np.uint64(sample) == 0)
-                owner = np.searchsorted(starts, place, side="right") - 1
-                whole = (place + width <= starts[owner + 1]) & (np.diff(starts)[owner] >= LEAST)
-                h, owner = h[place[whole]], owner[whole]
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                h, owner = h[new], owner[new]
-                n = np.bincount(owner, minlength=len(part))[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h)), pa.array(ids[at + owner]), pa.array(n.astype(np.int32)), pa.array(tags[at + owner].astype(np.int32))],
-                    names=["h", "id", "n", "tag"],
-                )
-
-    return texts.select("id", "content", F.col("tag").cast("int").alias("tag")).mapInArrow(passages, "h long, id long, n int, tag int")
-
-
-def bands(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(texts, bands) keys of the texts' signatures."""
-    n = len(starts) - 1
-    runs = Rolling(codes).windows(RUN)
-    owner = np.repeat(np.arange(n), np.diff(starts))[: len(runs)]
-    whole = np.arange(len(runs)) + RUN <= starts[owner + 1]
-    runs, owner = runs[whole], owner[whole]
-    keys = []
-    for seed in range(SEEDS):
-        g = mixed(runs + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
-        least = np.full(n * BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        np.minimum.at(least, owner * BINS + (g >> np.uint64(58)).astype(np.int64), g)
-        least = least.reshape(n, BINS)
-        for at in range(0, BINS - ROWS + 1, ROWS):
-            key = np.full(n, seed * BINS + at, dtype=np.uint64)
-            for column in range(at, at + ROWS):
-                key = mixed(key * np.uint64(0x100000001B3) + least[:, column])
-            keys.append(key)
-    return np.stack(keys, axis=1)
-
-
-def band_keys(texts: DataFrame) -> DataFrame:
-    """As sampled_passages, with a row for each band of each text's signature."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            tags = batch.column(2).to_numpy(zero_copy_only=False)
-            for at, part in chunks(batch.column(1).to_pylist()):
-                codes, starts = reduced(part, LETTERS_DIGITS)
-                long = np.flatnonzero(np.diff(starts) >= LEAST)
-                if not len(long):
-                    continue
-                found = bands(codes, starts)[long]
-                width = found.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(found.ravel())), pa.array(np.repeat(ids[at + long], width)), pa.array(np.full(found.size, width, np.int32)), pa.array(np.repeat(tags[at + long].astype(np.int32), width))],
-                    names=["h", "id", "n", "tag"],
-                )
-
-    return texts.select("id", "content", F.col("tag").cast("int").alias("tag")).mapInArrow(keys, "h long, id long, n int, tag int")
-
-
 def run_sets(texts: list[str]) -> list[np.ndarray]:
     codes, starts = reduced(texts, LETTERS_DIGITS)
     h = Rolling(codes).windows(RUN)
@@ -149,83 +54,69 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def similar_pairs(candidates: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Of the candidate pairs (a, b) those whose whole contents (id, content) are similar: (a, b, similarity).
 
-    candidates is read three times, so it should be a checkpoint.
+    Texts are dealt to parts, and the pairs to cells of two parts: a text goes once into each cell that has pairs of
+    it, however many those are. candidates is read three times, so it should be a checkpoint.
     """
-    ids = shared_checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = texts.select("id", "content").join(small_or_shuffled(ids), "id", "left_semi")
-    left = wanted.select(F.col("id").alias("a"), F.col("content").alias("text_a"))
-    right = wanted.select(F.col("id").alias("b"), F.col("content").alias("text_b"))
+    ends = shared_checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    parts = ends.count() // CELL + 1
+    part = lambda column: F.pmod(F.xxhash64(column), F.lit(parts))
+    pairs = candidates.select((part("a") * parts + part("b")).alias("cell"), "a", "b")
+    wanted = texts.select("id", "content").join(small_or_shuffled(ends), "id", "left_semi").dropDuplicates(["id"])
+    places = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("id").agg(F.collect_list("cell").alias("cells"))
+    placed = wanted.join(places, "id").select(F.explode("cells").alias("cell"), F.lit(0).alias("turn"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "content")
+    rows = placed.union(pairs.select("cell", F.lit(1), "a", "b", F.lit(None).cast("string")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, known = None, {}
         for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
-            known: dict[int, np.ndarray] = {}
-            value = np.zeros(len(a))
-            ta, tb = batch.column("text_a"), batch.column("text_b")
-            for at in range(0, len(a), 200):
-                part = range(at, min(at + 200, len(a)))
-                new = {int(x): t[i].as_py() for x, t, i in [*((a[i], ta, i) for i in part), *((b[i], tb, i) for i in part)] if int(x) not in known}
-                if len(known) > 2000:
-                    known = {}
-                    new = {int(x): t[i].as_py() for x, t, i in [*((a[i], ta, i) for i in part), *((b[i], tb, i) for i in part)]}
-                known.update(zip(new, run_sets(list(new.values())), strict=True))
-                for i in part:
-                    value[i] = similarity(known[int(a[i])], known[int(b[i])])
-            good = value >= least
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(value[good])], names=["a", "b", "similarity"])
-
-    return candidates.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, similarity double")
+            cells, turns, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            edge = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]) | (turns[1:] != turns[:-1])]))
+            out: list[tuple[int, int, float]] = []
+            for at, end in zip(edge, np.append(edge[1:], len(cells)), strict=True):
+                if cells[at] != cell:
+                    cell, known = cells[at], {}
+                if turns[at] == 0:
+                    for i, some in chunks(batch.column(4).slice(at, end - at).to_pylist()):
+                        known.update(zip(a[at + i : at + i + len(some)].tolist(), run_sets(some), strict=True))
+                else:
+                    out += [(x, y, similarity(known[x], known[y])) for x, y in zip(a[at:end].tolist(), b[at:end].tolist(), strict=True)]
+            good = [x for x in out if x[2] >= least]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in good], pa.int64()), "b": pa.array([x[1] for x in good], pa.int64()), "similarity": pa.array([x[2] for x in good], pa.float64())})
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "turn").mapInArrow(check, "a long, b long, similarity double")
 
 
 class PairCounts:
-    """Pairs of ids and how many passages they share, summed in memory and given out in parts of bounded size."""
+    """Pairs of ids and how often they were added, summed in memory and given out in parts of bounded size."""
 
     def __init__(self, limit: int = 1_500_000) -> None:
         self.limit, self.held = limit, 0
-        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> None:
-        self.parts.append((a, b, na, nb))
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.parts.append((a, b))
         self.held += len(a)
 
     def full(self) -> bool:
         return self.held >= self.limit
 
-    def take(self) -> tuple[np.ndarray, ...] | None:
-        """(a, b, n, count) of what was added; n holds both texts' numbers of passages."""
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(a, b, count) of what was added."""
         if not self.held:
             return None
-        a, b, na, nb = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        a, b = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.held = [], 0
         ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
         key = place[: len(a)].astype(np.uint64) * np.uint64(len(ids)) + place[len(a) :].astype(np.uint64)
         _, first, count = np.unique(key, return_index=True, return_counts=True)
-        return a[first], b[first], both(na[first], nb[first]), count
-
-
-#: Of a pair (a, b): n, the two texts' numbers of sampled passages in one number, and cnt, the passages they share.
-#: A row with a = b counts the passages of a that were too common to be expanded.
-PAIR_SCHEMA = "a long, b long, n long, cnt int"
-
-
-def both(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    return (na.astype(np.int64) << 32) | nb.astype(np.int64)
-
-
-def pair_batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    a, b, n, count = found
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(count.astype(np.int32))], names=["a", "b", "n", "cnt"])
+        return a[first], b[first], count
 
 
-def common_batch(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    own, first, count = np.unique(ids, return_index=True, return_counts=True)
-    return pair_batch((own, own, both(n[first], n[first]), count))
+#: Of a pair (a, b): how many pieces they share in one slice, cnt; tag is used by marked rows only.
+PAIR_SCHEMA = "a long, b long, cnt int, tag int"
 
 
-def summed(counted: DataFrame) -> DataFrame:
-    """Partial counts summed per pair; pairs below the share and texts that aren't crowded are left out."""
-    total = counted.groupBy("a", "b", "n").agg(F.sum("cnt").cast("int").alias("cnt"))
-    na, nb = F.shiftright("n", 32), F.col("n").bitwiseAND(F.lit(0xFFFFFFFF))
-    enough = (F.col("a") != F.col("b")) & (F.col("cnt") >= F.greatest(F.lit(FEWEST), F.ceil(F.least(na, nb) * SHARE)))
-    crowded = (F.col("a") == F.col("b")) & (F.col("cnt") >= na * CROWDED)
-    return total.where(enough | crowded)
+def pair_batch(found: tuple[np.ndarray, np.ndarray, np.ndarray], tags: np.ndarray | None = None) -> pa.RecordBatch:
+    a, b, count = found
+    tags = np.zeros(len(a), np.int32) if tags is None else tags.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(count.astype(np.int32)), pa.array(tags)], names=["a", "b", "cnt", "tag"])
