@@ -1,5 +1,6 @@
 """Column functions on small tables with the odd cases: null, empty, long, Unicode."""
 
+import random
 from datetime import date
 from urllib.parse import parse_qsl, urlencode, urlparse
 
@@ -134,3 +135,19 @@ def test_robots(spark, status, robots, allowed):
     assert network.robots_allow(status, robots, "agent", "http://h.example/a/1") is allowed
     column = network.robots_column("agent")(F.lit(status).cast("int"), F.lit(robots).cast("string"), F.lit("http://h.example/a/1"))
     assert spark.range(1).select(column).first()[0] is allowed
+
+
+def test_links_resolve_as_the_standard_library_does(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    rng = random.Random(4)
+    bases = ["https://a.com", "http://a.com/", "http://a.com/b/c.html?q=1#f", "https://a.com/b/c/", "http://a.com?x=/y/", "http://a.com//b///c/d"]
+    parts = ["..", ".", "x", "y.html", "", "z"]
+    hrefs = ["", "#top", "?p=2", "//other.com/q", "https://o.com/a/../b", "http:rel", "mailto:x@y", "javascript:void(0)", "x.html?u=../z", "/x/../y.html", "../d.html", "./d.html", "x?", "/", ".", "..", "../..", "a/./b/../../c"]
+    hrefs += [rng.choice(["", "/"]) + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    hrefs = [h for h in hrefs if not h.startswith("//") or h == "//other.com/q"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    found = spark.createDataFrame(rows, "b string, h string").select("b", "h", urls.resolved_link(F.col("b"), F.col("h")).alias("x")).collect()
+    for r in found:
+        wanted = urldefrag(urljoin(r.b, r.h))[0]
+        assert r.x == (wanted if wanted.startswith("http") else None), (r.b, r.h, r.x, wanted)

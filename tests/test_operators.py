@@ -154,11 +154,49 @@ def test_runs(tmp_path):
         pass
 
 
+def test_reserved_files_go_again_whatever_fails(tmp_path):
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(OSError):
+        runs.reserve([tmp_path / "a", tmp_path / "file" / "b"])  # a file is no folder
+    assert not (tmp_path / "a").exists()
+
+
+def test_only_sets_of_names_lose_their_order():
+    assert runs.fingerprint({"steps": ["a", "b"]}) != runs.fingerprint({"steps": ["b", "a"]})
+    assert runs.fingerprint({"sites": ["a", "b"]}) == runs.fingerprint({"sites": ["b", "a", "a"]})
+
+
+def test_targets_and_sources_are_checked_in_order(spark):
+    from topicloom.functions import network
+
+    rows = [
+        ("ftp://a.example/x", "b.example", ["8.8.8.8"], network.WRONG_SCHEME),
+        ("http://b.example/x", "a.example", ["10.0.0.1"], network.WRONG_DOMAIN),
+        ("http://x.a.example/x", "www.A.example", [], network.NO_ADDRESS),
+        ("http://x.a.example/x", "a.example", ["8.8.8.8", "127.0.0.1"], network.NOT_PUBLIC),
+        ("http://x.a.example/x", "a.example", ["8.8.8.8", "2606:4700::1111"], ""),
+        (None, "a.example", None, network.WRONG_SCHEME),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, domain string, ips array<string>, wanted string")
+    assert all(r.found == r.wanted for r in df.withColumn("found", network.target_problem(F.col("url"), F.col("domain"), F.col("ips"))).collect())
+    pairs = spark.createDataFrame([("http://b.example", "a.example", False), ("http://a.example", "a.example", False), ("http://a.example", "a.example", None), ("http://a.example", "a.example", True)], "u string, d string, ok boolean")
+    found = [r[0] for r in pairs.select(network.source_problem(F.col("u"), F.col("d"), F.col("ok"))).collect()]
+    assert found == [network.OTHER_SITE, network.NO_ROBOT, network.NO_ROBOT, ""]
+
+
+def test_answers_are_read_by_the_api_of_their_site(spark):
+    item = json.dumps({"List": [{"NewsId": 3, "title": "储能"}]})
+    rows = [("s", "c", "q", "u", "x", "https://www.iresearch.com.cn/", item), ("s", "c", "q", "u", "stats.gov.cn", "", json.dumps({"resultDocs": [{"data": {"url": "http://www.stats.gov.cn/1", "title": "t"}}]})), ("s", "c", "q", "u", "none.example", None, item)]
+    df = spark.createDataFrame(rows, "site_name string, category string, query string, search_url string, domain string, url string, body string")
+    assert {(r.api, r.url) for r in tables.all_api_items(df).collect()} == {("iresearch", "https://www.iresearch.com.cn/Detail/report?id=3&isfree=0"), ("stats", "http://www.stats.gov.cn/1")}
+
+
 def test_prefilter_asks_about_the_best(spark):
     rows = [(i, "s", "ok" if i else "skipped", str(i * 10)) for i in range(5)]
     df = spark.createDataFrame(rows, "id int, site_name string, status string, preliminary_score string")
     found = curate.prefilter(df, lambda d: d.withColumns({"ai_score": F.col("id") * 20, "ai_reason": F.lit("")}), "id", per_site=2).collect()
     assert {r.id: r.ai_keep for r in found} == {0: "no", 1: "no", 2: "no", 3: "yes", 4: "yes"}
+    assert {r.id: (r.status, r.error, r.ai_relevance_score) for r in found} == {0: ("skipped", curate.NOT_ASKED, ""), 1: ("skipped", curate.NOT_ASKED, ""), 2: ("skipped", curate.NOT_ASKED, ""), 3: ("ok", "", "60"), 4: ("ok", "", "80")}
 
 
 def test_stream_keeps_the_first_arrival(spark, tmp_path):
@@ -168,6 +206,11 @@ def test_stream_keeps_the_first_arrival(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         arrivals.follow(spark, source, schema, out, str(tmp_path / "checkpoint"), lambda df: df).awaitTermination()
     assert sorted(r.ord for r in spark.read.parquet(out).collect()) == [1, 3, 5, 6]
+    for part in (tmp_path / "out" / "batch=0").glob("*.parquet"):
+        part.write_bytes(b"broken")
+    spark.createDataFrame([(7, "http://b.example/", "")], schema).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="(?i)parquet"):
+        arrivals.follow(spark, source, schema, out, str(tmp_path / "checkpoint"), lambda df: df).awaitTermination()
 
 
 def test_analysis_falls_back_row_by_row(spark):

@@ -7,9 +7,12 @@ from urllib import robotparser
 from urllib.parse import quote, urlsplit, urlunsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from .urls import url_domain, within_domain
+
 # Prefixes that carry an IPv4 address in their last 32 bits; answers that mean there is no robots file.
 TRANSLATED = tuple(map(ipaddress.ip_network, ("64:ff9b::/96", "64:ff9b:1::/48")))
 NO_ROBOTS = (404, 410)
@@ -66,3 +69,31 @@ def request_safe(url: str | None) -> str:
 @F.pandas_udf(StringType())
 def request_safe_url(urls: pd.Series) -> pd.Series:
     return urls.map(request_safe)
+
+
+# Why an address may not be fetched.
+WRONG_SCHEME, WRONG_DOMAIN, NO_HOST, NO_ADDRESS, NOT_PUBLIC = "仅允许 HTTP/HTTPS 请求", "重定向目标不匹配白名单域名", "请求 URL 缺少主机名", "无法解析目标域名", "目标域名解析到非公网 IP，已拒绝请求"
+OTHER_SITE, NO_ROBOT = "URL 不匹配白名单域名", "robots.txt 不允许访问"
+
+
+@F.pandas_udf(BooleanType())
+def all_public(addresses: pd.Series) -> pd.Series:
+    """Every one of an array of addresses is public; an empty array has none that isn't."""
+    return addresses.map(lambda several: several is not None and all(map(is_public, several))).astype(bool)
+
+
+def target_problem(url: Column, domain: Column, addresses: Column) -> Column:
+    """Why (url, its site's domain, the addresses its host resolved to) may not be fetched, in the order of the checks; '' if it may."""
+    return (
+        F.when(~F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)).isin("http", "https"), WRONG_SCHEME)
+        .when(~within_domain(url, domain), WRONG_DOMAIN)
+        .when(url_domain(url) == "", NO_HOST)
+        .when(F.coalesce(F.size(addresses), F.lit(0)) < 1, NO_ADDRESS)
+        .when(~all_public(addresses), NOT_PUBLIC)
+        .otherwise("")
+    )
+
+
+def source_problem(url: Column, domain: Column, allowed: Column) -> Column:
+    """Why a candidate's page isn't read: another site's domain, which is looked at first, or its robots file; '' if it may be."""
+    return F.when(~within_domain(url, domain), OTHER_SITE).when(~F.coalesce(allowed, F.lit(False)), NO_ROBOT).otherwise("")

@@ -150,17 +150,37 @@ def search_address(template: Column, query: Column) -> Column:
     return F.replace(template, F.lit("{query}"), percent_encoded(query))
 
 
+def _folded(path: Column) -> Column:
+    """A path's segments without `.`, and without what each `..` goes back over; a path that ends in one of them ends in a slash."""
+    fold = lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+    kept = F.aggregate(path, F.array().cast("array<string>"), fold)
+    return F.array_join(F.when(F.element_at(path, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
 def resolved_link(base: Column, href: Column) -> Column:
-    """An http(s) address without fragment for a link on a page; null for other schemes. Dot segments are left as they are."""
+    """The http(s) address, without fragment, that a link on the page `base` leads to; null for other schemes.
+
+    Relative paths are resolved against the page's folder, dot segments folded; an address with a host stays as it is.
+    """
+    scheme = F.lower(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
     link = F.regexp_replace(F.trim(_text(href)), "#.*$", "")
-    origin = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*.*/)[^/]*$", "$1")
+    own_scheme = F.lower(F.regexp_extract(link, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    rest = F.when(own_scheme != "", F.regexp_replace(link, "^[^:]*:", "")).otherwise(link)
+    path, query = F.regexp_extract(rest, "^([^?]*)", 1), F.regexp_extract(rest, r"^[^?]*(\?.+)$", 1)
+    host = F.regexp_extract(base, "^[^:/?#]+://([^/?#]*)", 1)
+    folder = F.split(F.regexp_extract(base, "^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/")
+    folder = F.when(F.element_at(folder, -1) != "", F.slice(folder, 1, F.size(folder) - 1)).otherwise(folder)
+    below = F.concat(folder, F.split(path, "/"))
+    inner = F.filter(F.slice(below, 2, F.greatest(F.size(below) - 2, F.lit(0))), lambda x: x != "")
+    below = F.concat(F.slice(below, 1, 1), inner, F.slice(below, -1, 1))
+    there = _folded(F.when(path.startswith("/"), F.split(path, "/")).otherwise(below))
+    there = F.when(there.startswith("/"), there).otherwise(F.concat(F.lit("/"), there))
     whole = (
-        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), link))
-        .when(link == "", F.regexp_replace(base, "#.*$", ""))
-        .otherwise(F.concat(folder, link))
+        F.when(rest.startswith("//"), F.concat(F.when(own_scheme != "", own_scheme).otherwise(scheme), F.lit(":"), rest))
+        .when((own_scheme != "") & (own_scheme != scheme), link)
+        .when((path == "") & (query == ""), F.regexp_replace(base, "#.*$", ""))
+        .when(path == "", F.concat(F.regexp_replace(base, "[?#].*$", ""), query))
+        .otherwise(F.concat(scheme, F.lit("://"), host, there, query))
     )
-    return F.when(F.lower(whole).rlike("^https?://"), whole)
+    whole = F.regexp_replace(whole, r"\?$", "")
+    return F.when(F.lower(whole).rlike("^https?:"), whole)

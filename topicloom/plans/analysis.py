@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt, text
@@ -20,6 +20,8 @@ from ..operators.quality import counts
 #: From prompts to answers, in order; may raise.
 Answer = Callable[[list[str]], list[str]]
 CONTENT_LENGTH = 6000
+#: Values of a column that a log shows.
+MOST_VALUES = 10_000
 FIELDS = ("ai_summary", "ai_category", "ai_reason")
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```$")
 
@@ -70,8 +72,17 @@ def analysed(results: DataFrame, answer: Answer, prompt: str, tries: int = 2) ->
 
 
 def task_log(results: DataFrame, params: dict[str, object], columns: Sequence[str] = ("status", "site_name")) -> str:
-    """JSON of a run's parameters and how often each value of a few columns stands."""
+    """JSON of a run's parameters and how often each value of a few columns stands.
+
+    A column of more than MOST_VALUES values shows those that stand most often, and under `others` how many values
+    and rows the rest are.
+    """
+    ranked = counts(results, *columns).withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))).withColumn("shown", F.col("rank") <= MOST_VALUES)
     tally: dict[str, dict[str, int]] = {c: {} for c in columns}
-    for row in counts(results, *columns).orderBy("field", "value").limit(100_000).toLocalIterator():
-        tally[row.field][row.value] = row.n
-    return json.dumps({"parameters": params, "counts": tally}, ensure_ascii=False, sort_keys=True)
+    others = {}
+    for row in ranked.groupBy("field", "shown", F.when(F.col("shown"), F.col("value")).alias("value")).agg(F.sum("n").alias("n"), F.count("*").alias("values")).orderBy("field", "value").toLocalIterator():
+        if row.shown:
+            tally[row.field][row.value] = row.n
+        else:
+            others[row.field] = {"values": row["values"], "rows": row.n}
+    return json.dumps({"parameters": params, "counts": tally} | ({"others": others} if others else {}), ensure_ascii=False, sort_keys=True)

@@ -39,10 +39,26 @@ def publish(results: DataFrame, keywords: Sequence[str], order: str) -> DataFram
 Provider = Callable[[DataFrame], DataFrame]
 
 
+# Why a candidate was left out.
+NOT_ASKED, NOT_KEPT = "未进入AI精筛范围", "AI精筛剔除"
+
+
 def prefilter(candidates: DataFrame, provider: Provider, order: str, per_site: int = 5, least: int = 60) -> DataFrame:
-    """Ask the provider about the best candidates of each site; the others keep their row with ai_keep no."""
+    """Ask the provider about the best candidates of each site.
+
+    All rows stay, with ai_relevance_score (empty where not asked), ai_keep and ai_filter_reason; a row that isn't kept
+    gets status skipped and, where it has none yet, an error that says why.
+    """
     ok = candidates.where("status = 'ok'").withColumn("__score", whole_score("preliminary_score"))
-    asked = provider(top_per_group(ok, "site_name", "__score", order, per_site)).select(order, "ai_score", "ai_reason")
-    rows = candidates.join(asked, order, "left")
-    keep = F.coalesce(F.col("ai_score") >= least, F.lit(False))
-    return rows.withColumn("ai_keep", F.when(keep, "yes").otherwise("no"))
+    asked = provider(top_per_group(ok, "site_name", "__score", order, per_site)).select(order, "ai_score", "ai_reason").withColumn("__asked", F.lit(True))
+    rows = candidates.join(asked, order, "left").withColumn("__asked", F.coalesce("__asked", F.lit(False)))
+    keep = F.col("__asked") & F.coalesce(F.col("ai_score") >= least, F.lit(False))
+    why = F.when(F.col("__asked"), F.lit(NOT_KEPT)).otherwise(F.lit(NOT_ASKED))
+    added = {
+        "ai_keep": F.when(keep, "yes").otherwise("no"),
+        "ai_relevance_score": F.when(F.col("__asked"), F.coalesce(F.col("ai_score").cast("string"), F.lit(""))).otherwise(""),
+        "ai_filter_reason": F.when(F.col("__asked"), text("ai_reason")).otherwise(F.lit(NOT_ASKED)),
+        "error": F.when(keep | (text("error") != ""), text("error")).otherwise(why) if "error" in candidates.columns else F.when(keep, "").otherwise(why),
+        "status": F.when(keep, F.col("status")).otherwise("skipped"),
+    }
+    return rows.withColumns(added).drop("__asked")

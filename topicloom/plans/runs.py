@@ -5,27 +5,29 @@ from __future__ import annotations
 import fcntl
 import hashlib
 import json
-import os
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Collection, Iterator, Mapping, Sequence
+from contextlib import ExitStack, contextmanager
 from pathlib import Path
 
 #: Keys that never count towards a run's identity.
 SECRET_KEYS = frozenset(["api_key", "key", "token", "password"])
 
 
-def normalized(config: Mapping[str, object]) -> dict[str, object]:
-    """Keys sorted, sets and name lists sorted without repeats, secrets left out at any depth."""
+#: Lists under these keys are sets of names: their order and repeats don't matter.
+SET_KEYS = frozenset(["sites", "site_names", "domains"])
+
+
+def normalized(config: Mapping[str, object], set_keys: Collection[str] = SET_KEYS) -> dict[str, object]:
+    """Keys sorted; sets, and lists under set_keys, sorted without repeats; secrets left out at any depth. Other lists keep their order."""
     out: dict[str, object] = {}
-    for key in sorted(config):
+    for key in sorted(config.keys() - SECRET_KEYS):
         value = config[key]
-        if key in SECRET_KEYS:
-            continue
         if isinstance(value, Mapping):
-            value = normalized(value)
-        elif isinstance(value, (set, frozenset)) or (isinstance(value, (list, tuple)) and all(isinstance(x, str) for x in value)):
-            value = sorted(set(value))
-        out[key] = value
+            out[key] = normalized(value, set_keys)
+        elif isinstance(value, (set, frozenset)) or (key in set_keys and isinstance(value, (list, tuple))):
+            out[key] = sorted(set(value))
+        else:
+            out[key] = value
     return out
 
 
@@ -48,18 +50,15 @@ def reusable(root: str | Path, path: str | Path, expected: str) -> bool:
 
 
 def reserve(paths: Sequence[str | Path]) -> list[Path]:
-    """Create all files, or none if one is there already."""
-    made: list[Path] = []
-    try:
-        for path in map(Path, paths):
-            path.parent.mkdir(parents=True, exist_ok=True)
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-            made.append(path)
-    except FileExistsError:
-        for path in made:
-            path.unlink()
-        raise
-    return made
+    """Create every file anew. Whatever goes wrong on the way, none of those made here stays."""
+    places = [Path(path) for path in paths]
+    with ExitStack() as undo:
+        for place in places:
+            place.parent.mkdir(parents=True, exist_ok=True)
+            place.touch(exist_ok=False)
+            undo.callback(place.unlink, missing_ok=True)
+        undo.pop_all()
+    return places
 
 
 @contextmanager

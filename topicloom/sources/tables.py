@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +12,25 @@ from pyspark.sql.types import StringType
 from ..functions.dates import normalized_date
 from ..functions.scoring import candidate_score
 from ..functions.text import clean_text, matched_keywords, strip_html, text
-from ..functions.urls import within_domain
+from ..functions.urls import is_domain_or_below, url_domain, within_domain
 
 # The columns of stored tables.
-RESULT_COLUMNS = (
-    "title url site_name crawl_time topic content summary ai_summary ai_category ai_reason category publish_date status error matched_keywords source_type content_type extractor "
-    "candidate_title candidate_snippet score source_stage candidate_reason known_limit quality_issue review_required ai_relevance_score ai_keep ai_filter_reason"
-).split()
-QUALITY_COLUMNS = "quality issue review_required status site_name extractor source_type category publish_date content_type title url content_length matched_keywords".split()
-CANDIDATE_COLUMNS = "site_name category query search_url candidate_url title snippet publish_date matched_keywords preliminary_score status reason error".split()
-SITE_COLUMNS = "site_name url domain category page_type enabled max_detail_pages note".split()
+RESULT_COLUMNS = [
+    "title", "url", "site_name", "crawl_time", "topic", "content", "summary", "ai_summary", "ai_category", "ai_reason", "category", "publish_date",
+    "status", "error", "matched_keywords", "source_type", "content_type", "extractor", "candidate_title", "candidate_snippet", "score",
+    "source_stage", "candidate_reason", "known_limit", "quality_issue", "review_required", "ai_relevance_score", "ai_keep", "ai_filter_reason",
+]
+QUALITY_COLUMNS = [
+    "quality", "issue", "review_required", "status", "site_name", "extractor", "source_type", "category", "publish_date", "content_type", "title",
+    "url", "content_length", "matched_keywords",
+]
+CANDIDATE_COLUMNS = [
+    "site_name", "category", "query", "search_url", "candidate_url", "title", "snippet", "publish_date", "matched_keywords", "preliminary_score",
+    "status", "reason", "error",
+]
+SITE_COLUMNS = [
+    "site_name", "url", "domain", "category", "page_type", "enabled", "max_detail_pages", "note",
+]
 DEFAULT_DETAIL_PAGES = 5
 SNIPPET = 300
 
@@ -88,6 +99,8 @@ _SHAPES = {
     "cbndata": "data struct<data:array<struct<id:string,newId:string,type:string,title:string,summary:string,content:string,date:string>>>",
     "djyanbao": "data struct<data:array<struct<id:string,title:string,highlight:map<string,array<string>>,orgName:string,authors:string,publishAt:string>>>",
 }
+#: The iresearch API names its items in either of two ways.
+_LISTED = "List array<map<string,string>>"
 _ITEMS = {"stats": "answer.resultDocs.data", "iresearch": "answer.list", "cbndata": "answer.data.data", "djyanbao": "answer.data.data"}
 CBN_KINDS = ("information", "report", "activity")
 
@@ -97,7 +110,10 @@ def api_items(answers: DataFrame, api: str, limit: int = 20) -> DataFrame:
 
     Broken JSON gives no rows. Of each answer the first `limit` items count, which is the API's page size.
     """
-    rows = answers.withColumn("answer", F.from_json("body", _SHAPES[api])).select("site_name", "category", "query", "search_url", "domain", F.posexplode(F.slice(F.col(_ITEMS[api]), 1, limit)).alias("position", "i"))
+    items = F.col(_ITEMS[api])
+    if api == "iresearch":
+        items = F.when(F.size(items) > 0, items).otherwise(F.from_json("body", _LISTED)["List"])
+    rows = answers.withColumn("answer", F.from_json("body", _SHAPES[api])).select("site_name", "category", "query", "search_url", "domain", F.posexplode(F.slice(items, 1, limit)).alias("position", "i"))
     kind = F.when(F.col("i.type").isin(*CBN_KINDS), F.col("i.type")).otherwise(CBN_KINDS[0]) if api == "cbndata" else None
     number = _filled(*{"iresearch": ("i.id", "i.NewsId", "i.newsid"), "cbndata": ("i.id", "i.newId"), "djyanbao": ("i.id",)}.get(api, ("i.url",)))
     if api == "stats":
@@ -116,3 +132,19 @@ def api_items(answers: DataFrame, api: str, limit: int = 20) -> DataFrame:
         snippet = F.when(text(shown) != "", shown).otherwise(F.concat_ws(" ", text("i.orgName"), text("i.authors")))
         title, day, reason = _filled("i.title"), "i.publishAt", F.lit("api=djyanbao; public_preview_only")
     return rows.select("site_name", "category", "query", "search_url", "position", url.alias("url"), strip_html(title).alias("title"), strip_html(snippet).alias("snippet"), F.col(day).alias("day"), reason.alias("reason")).where("url <> ''")
+
+
+# The domain that each search API answers for.
+API_OF = {"stats.gov.cn": "stats", "iresearch.com.cn": "iresearch", "cbndata.com": "cbndata", "djyanbao.com": "djyanbao"}
+
+
+def api_of(url: Column, domain: Column) -> Column:
+    """The search API that answers for a site, by its address's host or else its domain; null for the others."""
+    host = F.when(url_domain(url) != "", url_domain(url)).otherwise(text(domain))
+    return F.coalesce(*(F.when(is_domain_or_below(host, F.lit(d)), F.lit(api)) for d, api in API_OF.items()))
+
+
+def all_api_items(answers: DataFrame, limit: int = 20) -> DataFrame:
+    """Answers of any sites (site_name, ..., domain, url, body), each read by the API of its site, with a column api; other sites' give no rows."""
+    rows = answers.withColumn("api", api_of(F.col("url"), F.col("domain")))
+    return reduce(DataFrame.unionByName, (api_items(rows.where(F.col("api") == api), api, limit).withColumn("api", F.lit(api)) for api in API_OF.values()))
