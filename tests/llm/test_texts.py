@@ -106,20 +106,32 @@ def test_repeated_lines_equal_brute_force(spark):
     assert repeated_lines.repeated_lines(df.limit(0)).count() == 0
 
 
-def test_frequent_sequences_equal_brute_force(spark):
+def gapped(keys, step):
+    """Every sequence of items at rising places at most `step` apart."""
+    found, open_ = set(), [((k,), i) for i, k in enumerate(keys)]
+    while open_:
+        found |= {s for s, _ in open_}
+        open_ = list({(s + (keys[j],), j) for s, i in open_ for j in range(i + 1, min(i + step + 1, len(keys)))})
+    return found
+
+
+@pytest.mark.parametrize("step", [1, 2, 3])
+def test_frequent_sequences_equal_brute_force(spark, step):
     rows = site_rows()
     df = spark.createDataFrame(rows, "record_id long, site_name string, content string")
-    found = Counter({(r.site_name, len(r.sequence)): 0 for r in []})
-    for r in repeated_lines.frequent_sequences(df).collect():
+    found = Counter()
+    for r in repeated_lines.frequent_sequences(df, step).collect():
         found[r.site_name, len(r.sequence), r.rows] += 1
     n = Counter(site for _, site, _ in rows if site)
     support = Counter()
     for _, site, content in rows:
         if site and content:
             keys = [k for line in content.split("\n") if len(k := reduce_slowly(line, LETTERS)) >= 4]
-            support.update((site, s) for s in {tuple(keys[a:b]) for a in range(len(keys)) for b in range(a + 1, len(keys) + 1)})
+            support.update((site, s) for s in gapped(keys, step))
     wanted = Counter((site, len(s), c) for (site, s), c in support.items() if c >= 5 and c * 100 >= 5 * n[site])
     assert found == wanted
+    lines = sorted(map(tuple, repeated_lines.repeated_lines(df, step).collect()))
+    assert lines == sorted(map(tuple, repeated_lines.repeated_lines(df).collect()))
 
 
 # pages

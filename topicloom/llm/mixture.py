@@ -10,6 +10,7 @@ large, is sorted in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,6 @@ from .tokens import LETTER, NUMBER, SPACE, VOCABULARY, class_table, encoder
 #: Ranges into which each source's keys are cut.
 RANGES = 4096
 LEAST_QUALITY = 0.05
-#: Times that a budget's rest is offered to the documents that still fit.
-PASSES = 4
 
 
 def quality(texts: list[str]) -> np.ndarray:
@@ -78,20 +77,20 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
 
     Documents without text, tokens or source, and sources that aren't targets, are left out; repeated rows count
     as documents of their own; empty tables give no rows. A document too long for what is left of a budget is
-    passed over; up to PASSES times the shorter ones after it are tried.
+    passed over, and what the budget has left goes to those after it that fit, until none does.
     """
     sizes = shared_checkpoint(sized(documents, vocabulary))
     plan = shared_checkpoint(budgets(sizes, targets, total))
-    taken = sizes.join(small_or_shuffled(plan.where("budget > 0").select("source", "epochs")), "source")
-    state = plan.where("rest > 0").select("source", "rest", F.lit(-1.0).alias("cut"))
-    extra = F.lit(False)
-    for k in range(PASSES):
-        state = shared_checkpoint(_next_cut(sizes, state))
-        mine = state.select("source", *(F.col(c).alias(f"{c}_{k}") for c in ("fit", "start", "stop")))
-        taken = taken.join(small_or_shuffled(mine), "source", "left")
-        extra = extra | F.coalesce((F.col("n_tokens") <= F.col(f"fit_{k}")) & (F.col("key") > F.col(f"start_{k}")) & (F.col("key") < F.col(f"stop_{k}")), F.lit(False))
-        state = state.where("rest > 0").select("source", "rest", F.col("stop").alias("cut"))
-    return taken.select("doc_id", "source", "n_tokens", (F.col("epochs") + extra.cast("int")).alias("copies")).where("copies > 0"), plan
+    state, cuts = plan.where("rest > 0").select("source", "rest", F.lit(-1.0).alias("cut")), []
+    while not cuts or not state.isEmpty():
+        found = shared_checkpoint(_next_cut(sizes, state))
+        cuts.append(found.select("source", F.struct("fit", "start", "stop").alias("cut")))
+        state = found.where("rest > 0 and stop < double('infinity')").select("source", "rest", F.col("stop").alias("cut"))
+    parts = reduce(DataFrame.union, cuts).groupBy("source").agg(F.collect_list("cut").alias("cuts"))
+    chosen = plan.where("budget > 0").select("source", "epochs").join(parts, "source", "left")
+    taken = sizes.join(small_or_shuffled(shared_checkpoint(chosen)), "source")
+    extra = F.exists("cuts", lambda c: (F.col("n_tokens") <= c["fit"]) & (F.col("key") > c["start"]) & (F.col("key") < c["stop"]))
+    return taken.select("doc_id", "source", "n_tokens", (F.col("epochs") + F.coalesce(extra, F.lit(False)).cast("int")).alias("copies")).where("copies > 0"), plan
 
 
 def _next_cut(sizes: DataFrame, state: DataFrame) -> DataFrame:

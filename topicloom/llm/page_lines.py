@@ -6,12 +6,15 @@ phrases; lines that the record's site repeats (problem 1) count as surroundings
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass, field
 from itertools import accumulate
 
+from .text_statistics import measure, repeated_grams
+
 # Words of menus and of footers.
 MENU_WORDS = frozenset(
     "首页 快讯 资讯 数据 报告 专题 活动 会展 视频 直播 问答 论坛 人物 图库 招聘 商城 订阅 登录 注册 下载 手机版 企业库 会员中心 行情 政策 英文版 english 栏目 频道 新闻 财经 科技 搜索 更多 客户端 导航 "
@@ -23,6 +26,9 @@ FOOTER_WORDS = frozenset(
 )
 _TWO_WORDS = [(re.compile(w.replace("_", " ")), w) for w in (*MENU_WORDS, *FOOTER_WORDS) if "_" in w]
 
+#: Characters from which a line is long.
+LONG = 170
+_MENU_MARK = re.compile(r"[|/·»›>]")
 _SPLIT = re.compile(r"[|/·»›>–—•,、;:\-\s]+")
 _EDGE = re.compile(r"^[\s\[\]【】()<>«»*•·●○■□▪◆▼▲|#=~—–\-_.。…!?]+|[\s\[\]【】()<>«»*•·●■□▪◆▼▲|#=~—–\-_]+$")
 _NOISE = re.compile("[\u0000-\u0008\u000b-\u001f\u007f­​-‏‪-‮⁠-⁤︀-️﻿]")
@@ -95,7 +101,7 @@ STRONG = re.compile(
     r"^エラー|見つかりません|no se encuentra|introuvable|nicht gefunden|non trovata|не найдена|찾을 수 없|"
     r"占位(?:文本|文字|内容)|待编辑|请输入正文|段落文字|示例文字|排版预览|样张|尚未录入|暂无内容|填写正文|正式上线前|请勿发布|测试稿|placeholder text|sample copy|to be written|replace before launch|insert text here|your text here|text goes here"
 )
-WEAK = re.compile(r"^(?:抱歉|对不起|很遗憾|sorry|notice:|we're sorry)|请(?:稍后|刷新|重试|检查网址|返回|更换)|稍后(?:再试|重试)|点击刷新|返回(?:首页|上一页)|刷新一下|请稍候|please try again|go back or search|\breload\b|验证码|人机验证|captcha|robot|no such item|异常|错误|\berror\b|超时|timed? ?out|loading")
+WEAK = re.compile(r"^(?:抱歉|对不起|很遗憾|sorry|notice:|we're sorry)|请(?:稍后|刷新|重试|检查网址|返回|更换)|稍后(?:再试|重试)|点击刷新|返回(?:首页|上一页)|刷新一下|请稍候|please try again|go back or search|\breload\b|验证码|人机验证|captcha|robot|no such item|异常|错误|\berror\b|超时|timed? ?out|loading|went wrong|under construction|coming soon|expired|log ?in again|sign in|try again|come back later|暂时|请(?:先)?登录|重新登录|人数过多|排队|升级|敬请期待|建设中|维护|出了点|出错|失败|不可用|^todo\b|^tbd\b|^fixme\b|write this|fill (?:this|in)|\bhere\]|^dear \[|尚未|待补|unavailable|not (?:available|found|exist)|overloaded|maintenance|unsupported|不支持")
 # A sentence that speaks about such messages instead of being one.
 _QUOTED = re.compile(r'"[^"]{2,80}"|「[^」]{2,80}」|《[^》]{2,80}》')
 TALK = re.compile(r"改成更|\ba \d{3} [a-z ]{0,40}page\b|variable such as|template variable|模板变量|is filled in|字样|反面例子|写法|演示了|展示了|称为|当时只看到|的做法|showed that|known as|so-called|is called|was quoted|as an example")
@@ -108,7 +114,7 @@ LOREM = frozenset(
 _NAMED = r"[a-z][a-z_.]{1,30}"
 SLOT = re.compile(
     rf"\{{\{{\s*{_NAMED}\s*\}}\}}|[$#]\{{\s*{_NAMED}\s*\}}|<%=?\s*{_NAMED}\s*%>|\{{%\s*{_NAMED}\s*%\}}|\[\[\s*{_NAMED}\s*\]\]|(?<![\d%])%{_NAMED}%|__{_NAMED}__|(?<![\w{{$#])\{{(?:\d{{1,2}}|{_NAMED})\}}|@model\.[a-z]+|%[sd](?![a-z0-9])|\[object object\]|"
-    r"[【\[](?:请(?:输入|填写)|此处(?:填写|插入|输入)|待(?:补充|填|定)|公司名称|产品型号|产品名称|作者姓名|数据来源待填|联系电话|insert|your|company name|author name|product name|to be (?:added|filled))[^】\]]{0,16}[】\]]"
+    r"[【\[](?:请(?:输入|填写)|此处(?:填写|插入|输入)|待(?:补充|填|定)|公司名称|产品型号|产品名称|作者姓名|数据来源待填|联系电话|insert|your|(?:first|last|full|user|company|author|product|customer) ?name|to be (?:added|filled))[^】\]]{0,16}[】\]]"
 )
 EMPTY_VALUE = re.compile(r"(?<![a-z])(?:null|undefined|nan|none|xxxx+)(?![a-z])")
 
@@ -120,9 +126,6 @@ _SENTENCES = re.compile(r"(?<=[。!?])|(?<=[.!?]) ")
 _HOLE = re.compile(r"@model|[{<\[【]|%[a-z]|__[a-z]|null|undefined|nan|none|xxxx")
 _FILLER = re.compile(r"lorem|dolor|ipsum|purus|tellus|varius|测试|正文|内容|样例|示例|占位|说明|标题|段落|文字")
 _STOCK = re.compile("副标题|标题占位|标题|这里是段落|段落文字|待编辑|请输入正文|正文内容|内容测试|测试一下|测试数据|测试内容|占位段|占位|示例文字|图片说明|样例句子|内容待更新|待更新|样例|正文|内容|测试|文字")
-LONGEST_MESSAGE = 250
-#: Characters of the n-grams by which a body repeats itself.
-GRAM = 8
 
 _BASE64 = re.compile(r"^[A-Za-z0-9+/_\-]{32,}={0,2}$")
 _MOJIBAKE = re.compile("�|锟斤拷|烫烫|屯屯|Ã|Â|ï¼|â€|鐨勬|鎶|鍙戝|浜у|澧炲|杩|涓")
@@ -147,14 +150,25 @@ class Page:
     lines: list[Line] = field(default_factory=list)
     kind: str | None = None
     body_size: int = 0
-    message_size: int = 0
     slots: int = 0
-    weak: list[tuple[str, int]] = field(default_factory=list)
+    #: Lines that may be messages: (hash of the masked line, characters, weight of its phrases: PROOF or HINT).
+    messages: list[tuple[int, int, int]] = field(default_factory=list)
+    #: The hash of the whole masked body, if it has the shape of a message.
+    whole: int | None = None
+    by: dict[str, int] = field(default_factory=dict)
+
+    def body(self) -> list[Line]:
+        return [x for x in self.lines if x.kind in ("prose", "table", "list", "junk", "small")]
 
     def surroundings(self) -> list[int]:
         return [x.number for x in self.lines if x.kind in NOT_BODY]
 
 
+#: A phrase that is proof by itself, and one that is so only of a line that recurs across sources.
+PROOF, HINT = 2, 1
+#: A body of the shape of a message: fewer characters and lines than this.
+MESSAGE_LETTERS, MESSAGE_LINES = 240, 8
+
 NOT_BODY = frozenset([*SURROUNDINGS, "menu", "footer", "heading", "item", "repeated"])
 
 
@@ -194,7 +208,7 @@ def is_prose(lower: str) -> bool:
 
 def menu_kind(text: str) -> str | None:
     """menu or footer, of a line made of such words."""
-    if len(text) > 160:
+    if len(text) > LONG and not _MENU_MARK.search(text):
         return None
     tokens = tokens_of(text)
     if not tokens or len(text) > 14 * len(tokens):
@@ -281,10 +295,19 @@ def _is_salad(lower: str) -> bool:
     return len(set(parts)) * 2.5 <= len(parts) and len(set(pairs)) * 1.3 <= len(pairs)
 
 
+_OBJECT = re.compile(
+    r"(?:该|此|本|当前|您?(?:要|所)?(?:访问|请求|查看|查找)的)*(?:页面|栏目|资源|文章|内容|链接|网页|地址|服务|文档|稿件)|\b(?:the |this |your |that |requested )*(?:page|document|article|link|resource|service|server|portal|item|content|file|site)\b"
+)
+
+
 def mask(text: str) -> str:
-    """A line with its numbers, dates, addresses and hexadecimal marks masked."""
+    """A line with its numbers, dates, addresses, hexadecimal marks and the thing that it is about masked."""
     text = re.sub(r"https?://\S+|\b[\w.-]+@[\w.-]+\b|\bwww\.\S+|/[\w./-]+", "@", text.lower())
-    return re.sub(r"[\W_]+", "", re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+", "0", text))
+    return re.sub(r"[\W_]+", "", _OBJECT.sub("&", re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+", "0", text)))
+
+
+def masked_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(mask(text).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _is_chinese_filler(lower: str) -> bool:
@@ -310,8 +333,8 @@ def _quoting(sentence: str) -> bool:
     return sentence[0] not in "{<" and rest != sentence and len(rest) >= 8 and not STRONG.search(rest)
 
 
-def message_sizes(lines: list[Line], page: Page) -> None:
-    """The parts of the body that are messages, filler or holed sentences. Longer lines are seen first; once messages can't be half of the body any more, none is looked for.
+def look_for_messages(lines: list[Line], page: Page) -> None:
+    """The parts of the body that are messages, filler or holed sentences. Longer lines are seen first; once those left can't be half of the body with what was found, none can make it a message any more, and none is looked for.
 
     A line that the site repeats is surroundings by that alone: it is body only as far as it is a message or filler, so that the most recurrent ones count.
     """
@@ -331,24 +354,24 @@ def message_sizes(lines: list[Line], page: Page) -> None:
         if stuffed and kind != "junk" and _FILLER.search(lower):
             words = _LATIN_WORD.findall(lower)
             if len(words) >= 4 and sum(w in LOREM for w in words) * 2 >= len(words) and not _HAN.search(lower) or _is_chinese_filler(lower):
-                page.message_size += line.size
+                page.messages.append((masked_hash(line.text), line.size, PROOF))
                 page.body_size += line.size * again
                 continue
-        if kind != "junk" and line.size <= LONGEST_MESSAGE and open_ * 2 >= page.body_size and not TALK.search(lower):
+        if kind != "junk" and open_ * 2 >= page.body_size and not TALK.search(lower):
             if told := _told(line, kind, lower):
-                page.message_size += told
+                page.messages.append((masked_hash(line.text), told, PROOF))
                 page.body_size += line.size * again
                 open_ -= line.size - told
                 continue
-            if len(lower) <= 120 and WEAK.search(lower):
-                page.weak.append((mask(line.text), line.size))
+            if (kind != "prose" or line.size <= 120) and WEAK.search(lower):
+                page.messages.append((masked_hash(line.text), line.size, HINT))
                 page.body_size += line.size * again
                 continue
         open_ -= line.size
     page.slots = slots + (empties if slots or empties > 1 else 0)
 
 
-def read_page(content: str, repeated: frozenset[int] | set[int] = frozenset(), numbers: dict[int, int] | None = None) -> Page:
+def parse_page(content: str, repeated: frozenset[int] = frozenset(), numbers: dict[int, int] | None = None) -> Page:
     """The lines of a content with their classes. numbers: line number to line identifier; repeated: those its site repeats."""
     page = Page()
     in_list = False
@@ -363,9 +386,11 @@ def read_page(content: str, repeated: frozenset[int] | set[int] = frozenset(), n
         if not text:
             continue
         line.repeated = bool(numbers) and numbers.get(number) in repeated
-        if len(text) <= 170 and (number - 1 in hinted or line.repeated or len(text) <= 60 or text[-1] not in "。.!?"):
+        if number - 1 in hinted or line.repeated or len(text) <= 60 or text[-1] not in "。.!?":
             core = _EDGE.sub("", lower) or lower
             found = _ANY_SURROUNDING.search(core) if number - 1 in hinted else None
+            if found and len(text) > LONG and found.start() and not line.repeated:
+                found = None  # a long line is known by how it begins
             kind = found.lastgroup if found else menu_kind(core)
             if kind and ((kind == "crumb" and is_prose(core)) or TALK_OF_NOTICES.search(core) or (found and found.start() > 60 and is_prose(core))):
                 kind = None
@@ -418,45 +443,66 @@ def cut_to_body(page: Page) -> None:
             line.kind = "item"
 
 
-def repeated_size(body: list[Line]) -> float:
-    """Characters of the body that say again what it has said: lines that stand before, and n-grams seen before, of prose in all of it and of a long item in itself (items may be alike)."""
-    lines: set[str] = set()
-    grams: set[str] = set()
-    again = 0.0
+def settle(page: Page) -> None:
+    """What the page's body is made of, by lines; and its messages."""
+    body = page.body()
+    page.body_size = sum(x.size for x in body)
     for x in body:
-        if x.kind not in ("prose", "list") and (x.kind != "table" or any(c.isdigit() for c in x.text)):
-            continue
-        if x.text in lines:
-            again += x.size
-            continue
-        lines.add(x.text)
-        n = len(x.text) - GRAM + 1
-        if n > 0 and (x.kind == "prose" or x.size >= 60):
-            own = {x.text[i : i + GRAM] for i in range(n)}
-            if x.kind == "prose":
-                new = len(own - grams)
-                grams |= own
-            else:
-                new = len(own)
-            again += x.size * (n - new) / n
-    return again
+        page.by[x.kind] = page.by.get(x.kind, 0) + x.size
+    shown = body + [x for x in page.lines if x.kind == "repeated"]
+    look_for_messages(shown, page)
+    if 0 < sum(x.size for x in shown) < MESSAGE_LETTERS and len(shown) <= MESSAGE_LINES:
+        page.whole = masked_hash("\n".join(x.text for x in sorted(shown, key=lambda x: x.number)))
 
 
-def settle(page: Page) -> None:
-    """The page's kind by what most of its body is; message sizes."""
-    body = [x for x in page.lines if x.kind in ("prose", "table", "list", "junk", "small")]
-    page.body_size = sum(x.size for x in body)
-    size = page.body_size
-    message_sizes(body + [x for x in page.lines if x.kind == "repeated"], page)
-    if not body:
+def measured_texts(page: Page) -> list[str]:
+    """The texts of which repetition is measured: the body's prose together, and each long line else by itself, as items may be alike."""
+    body = page.body()
+    return ["\n".join(x.text for x in body if x.kind == "prose"), *(x.text for x in body if _is_long_item(x))]
+
+
+def _is_long_item(line: Line) -> bool:
+    return line.size >= 60 and (line.kind == "list" or (line.kind == "table" and not any(c.isdigit() for c in line.text)))
+
+
+def decide(page: Page, repeated: list[float], statistics: dict[str, float]) -> None:
+    """The page's kind, by what most of its body is and by its statistics.
+
+    repeated: of each of measured_texts the share of its n-grams that repeat earlier ones; statistics: those of the whole body.
+    """
+    size, by = sum(page.by.values()), page.by
+    if not size:
         return
-    by: dict[str, int] = {}
-    for x in body:
-        by[x.kind] = by.get(x.kind, 0) + x.size
     kind = max(by, key=by.get)
-    if kind != "junk" and size >= 60 and (by.get("junk", 0) + repeated_size(body)) * 2 > size:
+    body = page.body()
+    long = [x for x in body if _is_long_item(x)]
+    seen: set[str] = set()
+    again = by.get("prose", 0) * repeated[0]
+    for x in body:  # short items that stand again
+        if x.kind in ("list", "table") and x.text in seen and not (x.kind == "table" and any(c.isdigit() for c in x.text)):
+            again += x.size
+        seen.add(x.text)
+    again += sum(x.size * r for x, r in zip(long, repeated[1:], strict=True))
+    if kind != "junk" and size >= 60 and (by.get("junk", 0) + again) * 2 > size:
         page.kind = "junk"
     elif kind != "prose" and by[kind] * 2 > size and (len(body) > 2 or kind == "junk" or size > 60):
         page.kind = kind
+    elif kind == "prose" and by[kind] * 2 <= size and statistics["punctuated_lines"] < 0.3 and statistics["common_words"] < 0.03:
+        page.kind = max((k for k in by if k != "prose"), key=by.get)
     elif kind == "prose":
         cut_to_body(page)
+
+
+def read_pages(contents: list[str], repeated: list[frozenset[int]], numbers: list[dict[int, int] | None]) -> list[Page]:
+    """Pages of several contents, their repetition and statistics measured together."""
+    pages = [parse_page(*x) for x in zip(contents, repeated, numbers, strict=True)]
+    wholes = measure(["\n".join(x.text for x in page.body()) for page in pages], grams=False)
+    texts = [measured_texts(page) for page in pages]
+    shares = iter(repeated_grams([t for several in texts for t in several]).tolist())
+    for k, (page, several) in enumerate(zip(pages, texts, strict=True)):
+        decide(page, [next(shares) for _ in several], {name: wholes[name][k] for name in ("punctuated_lines", "common_words")})
+    return pages
+
+
+def read_page(content: str, repeated: frozenset[int] | set[int] = frozenset(), numbers: dict[int, int] | None = None) -> Page:
+    return read_pages([content], [frozenset(repeated)], [numbers])[0]

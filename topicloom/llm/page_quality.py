@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from . import text_statistics
 from .cluster import shared_checkpoint, small_or_shuffled, spread
-from .page_lines import read_page
+from .codepoints import chunks
+from .page_lines import HINT, PROOF, read_pages
 from .repeated_lines import document_lines, frequent_lines, least_support, line_identifiers
 
 #: A masked message recurs when it stands in so many records of so many sources.
 LEAST_RECORDS, LEAST_SOURCES = 3, 2
+#: Characters of contents whose pages are read together.
+READ = 300_000
 
-PAGES = "record_id long, site_name string, kind string, body int, messages int, slots int, surroundings array<int>, weak array<struct<line: string, size: int>>"
+PAGES = "record_id long, site_name string, kind string, body int, slots int, surroundings array<int>, messages array<struct<line: bigint, size: int, weight: int>>, whole bigint"
 
 
 def pages(records: DataFrame) -> DataFrame:
@@ -32,49 +35,62 @@ def pages(records: DataFrame) -> DataFrame:
     """
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), F.coalesce("site_name", F.lit("")).alias("site_name"), "content").where("content <> ''")
     rows = spread(rows)
-    support = shared_checkpoint(least_support(records))
-    known = frequent_lines(document_lines(rows), support).groupBy("site_name").agg(F.collect_list("line").alias("known"))
-    joined = rows.join(small_or_shuffled(known, 20_000), "site_name", "left").select("record_id", "site_name", "content", "known")
+    known = shared_checkpoint(site_lines(rows))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("record_id", pa.int64()), ("site_name", pa.string()), ("kind", pa.string()), ("body", pa.int32()), ("messages", pa.int32()), ("slots", pa.int32()), ("surroundings", pa.list_(pa.int32())), ("weak", pa.list_(pa.struct([("line", pa.string()), ("size", pa.int32())])))]
-        )
-        sets: dict[str, frozenset[int]] = {}
+        ints = pa.int32()
+        message = pa.struct([("line", pa.int64()), ("size", ints), ("weight", ints)])
+        schema = pa.schema([("record_id", pa.int64()), ("site_name", pa.string()), ("kind", pa.string()), ("body", ints), ("slots", ints), ("surroundings", pa.list_(ints)), ("messages", pa.list_(message)), ("whole", pa.int64())])
         for batch in batches:
-            ids, sites, contents = (batch.column(k).to_pylist() for k in range(3))
-            known = batch.column(3)
-            for at in range(0, len(ids), 256):
-                part = contents[at : at + 256]
+            ids, sites, contents, lines = (batch.column(k).to_pylist() for k in range(4))
+            for at, part in chunks(contents, READ):
                 owner, number, h = line_identifiers(part)
                 edges = np.searchsorted(owner, np.arange(len(part) + 1))
-                out = []
-                for k, content in enumerate(part):
-                    site = sites[at + k]
-                    if site not in sets:
-                        sets[site] = frozenset(known[at + k].as_py() or ())
-                    mine = slice(edges[k], edges[k + 1])
-                    page = read_page(content, sets[site], dict(zip(number[mine].tolist(), h[mine].tolist(), strict=True)) if sets[site] else None)
-                    out.append((ids[at + k], site, page.kind, page.body_size, page.message_size, page.slots, page.surroundings(), [{"line": a, "size": b} for a, b in page.weak]))
+                numbers = [dict(zip(number[a:b].tolist(), h[a:b].tolist(), strict=True)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                read = read_pages(part, [frozenset(x or ()) for x in lines[at : at + len(part)]], numbers)
+                out = [
+                    (ids[at + k], sites[at + k], p.kind, p.body_size, p.slots, p.surroundings(), [dict(zip(("line", "size", "weight"), m, strict=True)) for m in p.messages], p.whole)
+                    for k, p in enumerate(read)
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            if len(sets) > 50_000:
-                sets.clear()
 
-    return joined.mapInArrow(read, PAGES)
+    return rows.join(small_or_shuffled(known), "record_id", "left").select("record_id", "site_name", "content", "repeated").mapInArrow(read, PAGES)
+
+
+def site_lines(rows: DataFrame) -> DataFrame:
+    """(record_id, site_name, content) to (record_id, repeated array<bigint>): of each record the lines that its site repeats.
+
+    Equal contents of a site count once, so that a much delivered article doesn't turn into a notice.
+    """
+    first = rows.where("site_name <> ''").groupBy("site_name", F.xxhash64("content").alias("text")).agg(F.min("record_id").alias("record_id"))
+    first = shared_checkpoint(first.select("record_id", "site_name"))
+    lines = document_lines(rows)
+    counted = lines.join(small_or_shuffled(first.select("record_id")), "record_id", "left_semi")
+    known = frequent_lines(counted, shared_checkpoint(least_support(first))).select("site_name", "line")
+    own = lines.select("record_id", "site_name", F.explode(F.array_distinct("lines")).alias("line"))
+    return own.join(small_or_shuffled(known), ["site_name", "line"], "left_semi").groupBy("record_id").agg(F.collect_list("line").alias("repeated"))
+
+
+def _recurring(rows: DataFrame) -> DataFrame:
+    """(line, site_name) to the lines that stand in enough records of enough sources; a checkpoint. Counts are combined per source first."""
+    counted = rows.groupBy("line", "site_name").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("sources"))
+    return shared_checkpoint(counted.where((F.col("n") >= LEAST_RECORDS) & (F.col("sources") >= LEAST_SOURCES)).select("line"))
 
 
 def not_articles(read: DataFrame) -> DataFrame:
     """Of pages() (a checkpoint) the record_id of those that are templates, filler or messages.
 
-    A page is one if a slot of it is unfilled, or if messages make up half of its body; weak messages count
-    where their masked form recurs across sources.
+    Masked lines are grouped by their exact hash across sources; phrases weigh a group: proof counts by itself, a hint
+    where the group recurs across sources. A page is one if a slot of it is unfilled, if messages make up half of its
+    body, or if its whole masked body, of the shape of a message, recurs across sources, whatever its words.
     """
-    weak = read.where(F.size("weak") > 0).select("record_id", "site_name", F.explode("weak").alias("w")).select("record_id", "site_name", "w.line", "w.size")
-    recurring = weak.groupBy("line", "site_name").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("sources"))
-    recurring = recurring.where((F.col("n") >= LEAST_RECORDS) & (F.col("sources") >= LEAST_SOURCES)).select("line")
-    more = weak.join(recurring, "line", "left_semi").groupBy("record_id").agg(F.sum("size").alias("more"))
-    total = F.col("messages") + F.coalesce("more", F.lit(0))
-    return read.select("record_id", "body", "messages", "slots").join(more, "record_id", "left").where((F.col("slots") > 0) | ((F.col("body") > 0) & (total * 2 >= F.col("body")))).select("record_id")
+    lines = read.where(F.size("messages") > 0).select("record_id", "site_name", F.explode("messages").alias("m")).select("record_id", "site_name", "m.line", "m.size", "m.weight")
+    recurring = _recurring(lines.where(F.col("weight") == HINT)).withColumn("recurs", F.lit(True))
+    told = lines.join(small_or_shuffled(recurring), "line", "left").where((F.col("weight") == PROOF) | F.col("recurs")).groupBy("record_id").agg(F.sum("size").alias("told"))
+    wholes = read.where("whole is not null").select("record_id", "site_name", F.col("whole").alias("line"))
+    same = wholes.join(small_or_shuffled(_recurring(wholes)), "line", "left_semi").select("record_id")
+    half = read.join(told, "record_id", "left").where((F.col("slots") > 0) | ((F.col("body") > 0) & (F.coalesce("told", F.lit(0)) * 2 >= F.col("body")))).select("record_id")
+    return half.union(same).distinct()
 
 
 def template_residue(records: DataFrame) -> DataFrame:
@@ -82,12 +98,12 @@ def template_residue(records: DataFrame) -> DataFrame:
 
     Null, empty and blank contents have no row; quality_issue isn't looked at; an empty table gives no rows.
     """
-    return not_articles(shared_checkpoint(pages(records).select("record_id", "site_name", "body", "messages", "slots", "weak")))
+    return not_articles(shared_checkpoint(pages(records).drop("kind", "surroundings")))
 
 
 def not_prose(records: DataFrame) -> DataFrame:
     """(record_id, kind) of records that are for the most part list, table or junk, template residue left out."""
-    read = shared_checkpoint(pages(records).select("record_id", "site_name", "kind", "body", "messages", "slots", "weak"))
+    read = shared_checkpoint(pages(records).drop("surroundings"))
     odd = read.where("kind is not null").select("record_id", "kind")
     return odd.join(small_or_shuffled(shared_checkpoint(not_articles(read))), "record_id", "left_anti")
 

@@ -71,8 +71,11 @@ def frequent_lines(lines: DataFrame, support: DataFrame) -> DataFrame:
     return shared_checkpoint(counted.where(F.col("rows") >= LEAST_ROWS).join(small_or_shuffled(support), "site_name").where("rows >= least").select("site_name", "line", "rows"))
 
 
-def frequent_sequences(records: DataFrame) -> DataFrame:
-    """(site_name, sequence array<bigint>, rows): every frequent sequence of lines that follow each other within STEP, by PrefixSpan."""
+def frequent_sequences(records: DataFrame, step: int = STEP) -> DataFrame:
+    """(site_name, sequence array<bigint>, rows): every frequent sequence of lines that follow each other within `step`, by PrefixSpan.
+
+    With a step of 1 the lines of a sequence stand together; a larger one lets other lines stand between them.
+    """
     support = shared_checkpoint(least_support(records))
     lines = document_lines(records)
     single = frequent_lines(lines, support)
@@ -85,8 +88,8 @@ def frequent_sequences(records: DataFrame) -> DataFrame:
     # open: the occurrences (end place) of each frequent sequence within each document
     grown = document.select("record_id", "site_name", "lines", F.transform("lines", lambda x: F.struct(x["at"].alias("at"), F.array(x["line"]).alias("sequence"))).alias("open"))
     while True:
-        step = F.flatten(F.transform("open", lambda o: F.transform(F.filter("lines", lambda x: (x["at"] > o["at"]) & (x["at"] <= o["at"] + STEP)), lambda x: F.struct(x["at"].alias("at"), F.concat(o["sequence"], F.array(x["line"])).alias("sequence")))))
-        grown = grown.select("record_id", "site_name", "lines", step.alias("open")).where(F.size("open") > 0)
+        longer_by_one = F.flatten(F.transform("open", lambda o: F.transform(F.filter("lines", lambda x: (x["at"] > o["at"]) & (x["at"] <= o["at"] + step)), lambda x: F.struct(x["at"].alias("at"), F.concat(o["sequence"], F.array(x["line"])).alias("sequence")))))
+        grown = grown.select("record_id", "site_name", "lines", longer_by_one.alias("open")).where(F.size("open") > 0)
         counted = grown.select("site_name", F.explode(F.array_distinct(F.transform("open", lambda o: o["sequence"]))).alias("sequence")).groupBy("site_name", "sequence").agg(F.count("*").alias("rows"))
         longer = shared_checkpoint(counted.join(support, "site_name").where("rows >= least").select("site_name", "sequence", "rows"))
         if longer.isEmpty():
@@ -97,17 +100,16 @@ def frequent_sequences(records: DataFrame) -> DataFrame:
         grown = shared_checkpoint(kept.groupBy("record_id", "site_name").agg(F.first("lines").alias("lines"), F.collect_list(F.struct("at", "sequence")).alias("open")))
 
 
-def repeated_lines(records: DataFrame) -> DataFrame:
-    """(record_id, site_name, content) to (record_id, line_no) of every line that its site repeats.
+def repeated_lines(records: DataFrame, step: int = STEP) -> DataFrame:
+    """(record_id, site_name, content) to (record_id, line_no) of every line of an occurrence of a sequence that its site repeats.
 
     Lines are numbered from 1, blank ones included. Records with null or empty site or content, and lines
-    of fewer than four letters, have no row; an empty table gives none. Every line of a frequent sequence is
-    itself frequent, so the occurrences of the sequences of length one are those of all sequences.
+    of fewer than four letters, have no row; an empty table gives none. As every part of a frequent sequence is
+    itself frequent, an occurrence of each of its lines is one of a frequent sequence of length one.
     """
-    support = shared_checkpoint(least_support(records))
-    lines = document_lines(records)
-    known = frequent_lines(lines, support).select("site_name", "line")
-    rows = lines.select("record_id", "site_name", F.explode(F.arrays_zip("lines", "numbers")).alias("x")).select("record_id", "site_name", F.col("x.lines").alias("line"), F.col("x.numbers").alias("line_no"))
+    found = frequent_sequences(records, step)
+    known = shared_checkpoint(found.select("site_name", F.explode("sequence").alias("line")).distinct())
+    rows = document_lines(records).select("record_id", "site_name", F.explode(F.arrays_zip("lines", "numbers")).alias("x")).select("record_id", "site_name", F.col("x.lines").alias("line"), F.col("x.numbers").alias("line_no"))
     return rows.join(small_or_shuffled(known), ["site_name", "line"], "left_semi").select("record_id", "line_no")
 
 

@@ -179,5 +179,5 @@ def whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
 def by_slice(packed: DataFrame, slices: int, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """work over the rows (slice, block), all rows of a slice in one partition and together."""
-    rows = packed.repartition(max(1, slices // SLICES_EACH), F.pmod("slice", F.lit(max(1, slices // SLICES_EACH)))).sortWithinPartitions("slice")
-    return rows.mapInArrow(work, schema)
+    parts = max(1, slices // SLICES_EACH)
+    return packed.repartitionById(parts, F.pmod("slice", F.lit(parts)).cast("int")).sortWithinPartitions("slice").mapInArrow(work, schema)

@@ -7,7 +7,7 @@ subjects are weighed by their posterior probability, and a document has every su
 its text is about.
 
 The fit uses at most LABELLED labelled documents (the least in order of a hash of their id), on the
-driver; its result, a table of at most TERMS terms, is the only thing sent to the executors. Every
+driver; its result, a table of terms as large as that sample makes it, is the only thing sent to the executors. Every
 document is read whole.
 """
 
@@ -20,14 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import shared_checkpoint
 from .codepoints import Rolling, chunks, code_points
 
-LABELLED = 3000
-TERMS = 40_000
+#: The model is fitted on at most so many labelled documents, of so many characters together.
+LABELLED, LABELLED_LETTERS = 3000, 20_000_000
+#: Most subjects.
+SUBJECTS = 1000
 #: A subject's share of the text that is about any subject, and of the whole text.
 SHARE, SHARE_OF_ALL = 0.25, 0.18
 #: Times that the terms are learned anew from the sentences they decide.
@@ -94,26 +96,40 @@ def _sentences(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Lexicon:
-    """Terms by the upper bits of their hash; of two terms in one slot the heavier stays."""
+    """Terms in slots by the upper bits of their hash; those whose slot is taken are in sorted arrays beside."""
 
     keys: np.ndarray
     subject: np.ndarray
     weight: np.ndarray
+    shared: np.ndarray
+    more: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @staticmethod
     def of(terms: dict[int, tuple[int, float]]) -> Lexicon:
-        made = Lexicon(np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.float32))
-        for h, (k, w) in sorted(terms.items(), key=lambda x: (x[1][1], x[0])):
-            at = h >> 44
-            made.keys[at], made.subject[at], made.weight[at] = h, k, w
+        h = np.array(sorted(terms), dtype=np.uint64)
+        subject = np.array([terms[int(x)][0] for x in h], dtype=np.int8)
+        weight = np.array([terms[int(x)][1] for x in h], dtype=np.float32)
+        at = (h >> np.uint64(44)).astype(np.int64)
+        alone = np.ones(len(h), dtype=bool)
+        alone[1:] = at[1:] != at[:-1]
+        made = Lexicon(np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.float32), np.zeros(SLOTS, bool), (h[~alone], subject[~alone], weight[~alone]))
+        made.keys[at[alone]], made.subject[at[alone]], made.weight[at[alone]] = h[alone], subject[alone], weight[alone]
+        made.shared[at[~alone]] = True
         return made
 
     def scores(self, owner: np.ndarray, h: np.ndarray, n: int, subjects: int) -> np.ndarray:
         """(n, subjects) weights of the terms found."""
         at = (h >> np.uint64(44)).astype(np.int64)
         hit = self.keys[at] == h
-        at, owner = at[hit], owner[hit]
-        return np.bincount(owner * subjects + self.subject[at], weights=self.weight[at], minlength=n * subjects).reshape(n, subjects)
+        place, weight = owner[hit] * subjects + self.subject[at[hit]], self.weight[at[hit]]
+        keys, subject, heavy = self.more
+        if len(keys):
+            other = np.flatnonzero(self.shared[at] & ~hit)
+            found = np.minimum(np.searchsorted(keys, h[other]), len(keys) - 1)
+            same = keys[found] == h[other]
+            found, other = found[same], other[same]
+            place, weight = np.concatenate([place, owner[other] * subjects + subject[found]]), np.concatenate([weight, heavy[found]])
+        return np.bincount(place, weights=weight, minlength=n * subjects).reshape(n, subjects)
 
 
 @dataclass
@@ -263,15 +279,17 @@ def _learn(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, k: int, purity:
     top = lean[np.arange(len(term)), best]
     sure = top * n / (n + 1)
     good = np.flatnonzero((n >= 3) & (sure > purity) & (lone * 4 < n))
-    good = good[np.argsort(-(sure * np.log1p(n))[good], kind="stable")[:TERMS]]
+    good = good[np.argsort(-(sure * np.log1p(n))[good], kind="stable")]
     return {int(term[i]): (int(best[i]), float(sure[i])) for i in good}
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[tuple[str, str | None, str | None, list[str]]]:
-    """At most `bound` labelled documents, the least by a hash of their id."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = LABELLED, letters: int = LABELLED_LETTERS) -> list[tuple[str, str | None, str | None, list[str]]]:
+    """Labelled documents in order of a hash of their id, at most `bound` of at most `letters` characters together; their texts whole."""
     known = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     chosen = shared_checkpoint(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    rows = documents.select("doc_id", "text", "title", "source").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    rows = shared_checkpoint(documents.select("doc_id", "text", "title", "source").join(F.broadcast(chosen), "doc_id").where("text is not null"))
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))  # over at most `bound` documents
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= letters)
     return [(r.text, r.title, r.source, sorted(r.labels)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
@@ -281,7 +299,9 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     share is the subject's part of the text that is about any subject. Null, empty and blank texts and those
     about no subject have no row; exact copies and repeated rows have rows each; without labels the seed terms alone decide.
     """
-    names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().limit(1000).collect())
+    names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().take(SUBJECTS + 1))
+    if len(names) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects")
     if not names:
         return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("subject"), F.lit(0.0).alias("share")).limit(0)
     model = fit(labelled_sample(documents, labels), names)

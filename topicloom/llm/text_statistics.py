@@ -50,21 +50,35 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.divide(part, whole, out=np.full(len(part), np.nan), where=whole > 0)
 
 
-def _repeats(owner: np.ndarray, h: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per owner: the size of items seen before in it, and of its most frequent item's occurrences."""
-    order = np.lexsort((h, owner))
-    o, x, s = owner[order], h[order], size[order]
-    new = np.ones(len(o), dtype=bool)
-    new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
-    again = np.bincount(o[~new], weights=s[~new], minlength=n)
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(s, first) if len(first) else np.zeros(0)
+def _repeats(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per owner: the items seen before in it, and the occurrences of its most frequent one."""
+    bits = max(1, int(n).bit_length())
+    key = np.sort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (h.view(np.uint64) >> np.uint64(bits)))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(key)))
+    o = (key[first] >> np.uint64(64 - bits)).astype(np.int64)
     top = np.zeros(n)
-    np.maximum.at(top, o[first], total)
-    return again, top
+    np.maximum.at(top, o, total)
+    return np.bincount(o, weights=total - 1, minlength=n), top
 
 
-def measure(texts: list[str]) -> dict[str, np.ndarray]:
+def _grams(rolling: Rolling, owner: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every n-gram within a text."""
+    grams = rolling.windows(GRAM)
+    whole = np.arange(len(grams)) + GRAM <= starts[owner[: len(grams)] + 1]
+    return owner[: len(grams)][whole], grams[whole].view(np.int64)
+
+
+def repeated_grams(texts: list[str]) -> np.ndarray:
+    """Per text the share of its n-grams that repeat earlier ones; 0 for texts too short to have any."""
+    codes, starts = code_points([t.lower() for t in texts])
+    owner, grams = _grams(Rolling(codes), np.repeat(np.arange(len(texts)), np.diff(starts)), starts)
+    again, _ = _repeats(owner, grams, len(texts))
+    return np.nan_to_num(_share(again, np.bincount(owner, minlength=len(texts))))
+
+
+def measure(texts: list[str], grams: bool = True) -> dict[str, np.ndarray]:
+    """The statistics of each text by name; without grams those of n-grams, lines and paragraphs that repeat are left out."""
     n = len(texts)
     lower = [t.lower() for t in texts]
     codes, starts = code_points(lower)
@@ -91,18 +105,7 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     hashes = np.fromiter((hash(x) for _, x in lines), dtype=np.int64, count=len(lines))
     n_lines = np.bincount(line_owner, minlength=n)
     line_chars = np.bincount(line_owner, weights=sizes, minlength=n)
-    repeated, _ = _repeats(line_owner, hashes, np.ones(len(lines)), n)
-    parts = [(i, part) for i, text in enumerate(lower) for part in (x.strip() for x in text.split("\n\n")) if part]
-    part_owner = np.fromiter((i for i, _ in parts), dtype=np.int64, count=len(parts))
-    repeated_parts, _ = _repeats(part_owner, np.fromiter((hash(x) for _, x in parts), dtype=np.int64, count=len(parts)), np.ones(len(parts)), n)
-
-    grams = rolling.windows(GRAM)
-    place = np.arange(len(grams))
-    whole = place + GRAM <= starts[owner[: len(grams)] + 1]
-    gram_owner, grams = owner[: len(grams)][whole], grams[whole].view(np.int64)
-    again, top = _repeats(gram_owner, grams, np.ones(len(grams)), n)
-    n_grams = np.bincount(gram_owner, minlength=n)
-    return {
+    found = {
         "n_chars": np.diff(starts),
         "n_words": words,
         "mean_word_length": _share(letters, words),
@@ -110,10 +113,20 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
         "n_lines": n_lines,
         "punctuated_lines": _share(np.bincount(line_owner[ended], minlength=n), n_lines),
         "common_words": _share(common_words, words),
+    }
+    if not grams:
+        return found
+    repeated, _ = _repeats(line_owner, hashes, n)
+    parts = [(i, part) for i, text in enumerate(lower) for part in (x.strip() for x in text.split("\n\n")) if part]
+    part_owner = np.fromiter((i for i, _ in parts), dtype=np.int64, count=len(parts))
+    repeated_parts, _ = _repeats(part_owner, np.fromiter((hash(x) for _, x in parts), dtype=np.int64, count=len(parts)), n)
+    gram_owner, hashed = _grams(rolling, owner, starts)
+    again, top = _repeats(gram_owner, hashed, n)
+    return found | {
         "repeated_lines": _share(repeated, n_lines),
         "repeated_paragraphs": _share(repeated_parts, np.bincount(part_owner, minlength=n)),
         "top_gram": _share(np.minimum(top * GRAM, line_chars), line_chars),
-        "repeated_grams": _share(again, n_grams),
+        "repeated_grams": _share(again, np.bincount(gram_owner, minlength=n)),
     }
 
 
