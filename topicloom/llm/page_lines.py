@@ -13,6 +13,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from itertools import accumulate
 
+from .screens import Screened
 from .text_statistics import measure, repeated_grams
 
 # Words of menus and of footers.
@@ -89,7 +90,7 @@ _HEADING = re.compile(
 _ITEM = re.compile(r"^\s*(?:[\[(]?\d{1,3}[\])]?[.、:,)]?\s+|[·•●*▪■\-–—]+\s*|\d{1,2}-\d{1,2}\s+|\[\d{1,2}-\d{1,2}\]\s*|#\d+\s+)?")
 
 # Messages in place of an article. Strong: enough by themselves; weak: only where the same masked line recurs across sources.
-STRONG = re.compile(
+STRONG = Screened(
     r"网关超时|服务器(?:开小差|错误|繁忙|内部错误|异常)|访问(?:过于频繁|受限|被拒绝|被拦截|受到限制)|(?:页面|栏目|资源|文章|内容|链接|网页|地址|服务|文档|稿件).{0,12}(?:不存在|没有找到|未找到|响应超时|已过期|正在维护|维护中|已下线|下线了|已删除|被删除|找不到|无法显示|无法访问|打不开|加载失败|已失效|失效|不可用|出错|出现异常|已移除|走丢|迁移|需要.{0,6}权限)|"
     r"没有(?:权限|访问权限)|无权(?:访问|查看)|更高权限|网络(?:异常|错误|连接失败)|正在加载|加载中|秒后(?:自动)?跳转|未在规定时间内响应|(?:请求|错误|追踪)(?:编号|代码|码)\s*:?\s*[0-9a-f]|参数错误|系统(?:错误|繁忙|异常|维护)|(?:暂停|停止)服务|"
     r"(?:禁用|拦截|未启用|不支持|未开启|关闭|启用|开启|打开|允许|需要|要求).{0,8}(?:脚本|(?<![a-z])js(?![a-z])|javascript)|(?:脚本|javascript|(?<![a-z])js(?![a-z])).{0,10}(?:禁用|拦截|被阻止|未启用|不支持|未开启|关闭)|"
@@ -101,7 +102,7 @@ STRONG = re.compile(
     r"^エラー|見つかりません|no se encuentra|introuvable|nicht gefunden|non trovata|не найдена|찾을 수 없|"
     r"占位(?:文本|文字|内容)|待编辑|请输入正文|段落文字|示例文字|排版预览|样张|尚未录入|暂无内容|填写正文|正式上线前|请勿发布|测试稿|placeholder text|sample copy|to be written|replace before launch|insert text here|your text here|text goes here"
 )
-WEAK = re.compile(r"^(?:抱歉|对不起|很遗憾|sorry|notice:|we're sorry)|请(?:稍后|刷新|重试|检查网址|返回|更换)|稍后(?:再试|重试)|点击刷新|返回(?:首页|上一页)|刷新一下|请稍候|please try again|go back or search|\breload\b|验证码|人机验证|captcha|robot|no such item|异常|错误|\berror\b|超时|timed? ?out|loading|went wrong|under construction|coming soon|expired|log ?in again|sign in|try again|come back later|暂时|请(?:先)?登录|重新登录|人数过多|排队|升级|敬请期待|建设中|维护|出了点|出错|失败|不可用|^todo\b|^tbd\b|^fixme\b|write this|fill (?:this|in)|\bhere\]|^dear \[|尚未|待补|unavailable|not (?:available|found|exist)|overloaded|maintenance|unsupported|不支持")
+WEAK = Screened(r"^(?:抱歉|对不起|很遗憾|sorry|notice:|we're sorry)|请(?:稍后|刷新|重试|检查网址|返回|更换)|稍后(?:再试|重试)|点击刷新|返回(?:首页|上一页)|刷新一下|请稍候|please try again|go back or search|\breload\b|验证码|人机验证|captcha|robot|no such item|异常|错误|\berror\b|超时|timed? ?out|loading|went wrong|under construction|coming soon|expired|log ?in again|sign in|try again|come back later|暂时|请(?:先)?登录|重新登录|人数过多|排队|升级|敬请期待|建设中|维护|出了点|出错|失败|不可用|^todo\b|^tbd\b|^fixme\b|write this|fill (?:this|in)|\bhere\]|^dear \[|尚未|待补|unavailable|not (?:available|found|exist)|overloaded|maintenance|unsupported|不支持")
 # A sentence that speaks about such messages instead of being one.
 _QUOTED = re.compile(r'"[^"]{2,80}"|「[^」]{2,80}」|《[^》]{2,80}》')
 TALK = re.compile(r"改成更|\ba \d{3} [a-z ]{0,40}page\b|variable such as|template variable|模板变量|is filled in|字样|反面例子|写法|演示了|展示了|称为|当时只看到|的做法|showed that|known as|so-called|is called|was quoted|as an example")
@@ -388,9 +389,9 @@ def parse_page(content: str, repeated: frozenset[int] = frozenset(), numbers: di
         line.repeated = bool(numbers) and numbers.get(number) in repeated
         if number - 1 in hinted or line.repeated or len(text) <= 60 or text[-1] not in "。.!?":
             core = _EDGE.sub("", lower) or lower
-            found = _ANY_SURROUNDING.search(core) if number - 1 in hinted else None
-            if found and len(text) > LONG and found.start() and not line.repeated:
-                found = None  # a long line is known by how it begins
+            # a long line is known by how it begins
+            look = _ANY_SURROUNDING.match if len(text) > LONG and not line.repeated else _ANY_SURROUNDING.search
+            found = look(core) if number - 1 in hinted else None
             kind = found.lastgroup if found else menu_kind(core)
             if kind and ((kind == "crumb" and is_prose(core)) or TALK_OF_NOTICES.search(core) or (found and found.start() > 60 and is_prose(core))):
                 kind = None
@@ -465,10 +466,11 @@ def _is_long_item(line: Line) -> bool:
     return line.size >= 60 and (line.kind == "list" or (line.kind == "table" and not any(c.isdigit() for c in line.text)))
 
 
-def decide(page: Page, repeated: list[float], statistics: dict[str, float]) -> None:
+def decide(page: Page, repeated: list[float], statistics: dict[str, float] | None) -> None:
     """The page's kind, by what most of its body is and by its statistics.
 
-    repeated: of each of measured_texts the share of its n-grams that repeat earlier ones; statistics: those of the whole body.
+    repeated: of each of measured_texts the share of its n-grams that repeat earlier ones; statistics: those of the whole body,
+    which decide where prose is the most but not half of it.
     """
     size, by = sum(page.by.values()), page.by
     if not size:
@@ -487,7 +489,7 @@ def decide(page: Page, repeated: list[float], statistics: dict[str, float]) -> N
         page.kind = "junk"
     elif kind != "prose" and by[kind] * 2 > size and (len(body) > 2 or kind == "junk" or size > 60):
         page.kind = kind
-    elif kind == "prose" and by[kind] * 2 <= size and statistics["punctuated_lines"] < 0.3 and statistics["common_words"] < 0.03:
+    elif statistics and statistics["punctuated_lines"] < 0.3 and statistics["common_words"] < 0.03:
         page.kind = max((k for k in by if k != "prose"), key=by.get)
     elif kind == "prose":
         cut_to_body(page)
@@ -496,11 +498,13 @@ def decide(page: Page, repeated: list[float], statistics: dict[str, float]) -> N
 def read_pages(contents: list[str], repeated: list[frozenset[int]], numbers: list[dict[int, int] | None]) -> list[Page]:
     """Pages of several contents, their repetition and statistics measured together."""
     pages = [parse_page(*x) for x in zip(contents, repeated, numbers, strict=True)]
-    wholes = measure(["\n".join(x.text for x in page.body()) for page in pages], grams=False)
+    open_ = [k for k, page in enumerate(pages) if page.by and max(page.by, key=page.by.get) == "prose" and page.by["prose"] * 2 <= sum(page.by.values())]
+    wholes = measure(["\n".join(x.text for x in pages[k].body()) for k in open_], grams=False) if open_ else {}
+    statistics = {k: {name: float(wholes[name][i]) for name in ("punctuated_lines", "common_words")} for i, k in enumerate(open_)}
     texts = [measured_texts(page) for page in pages]
     shares = iter(repeated_grams([t for several in texts for t in several]).tolist())
     for k, (page, several) in enumerate(zip(pages, texts, strict=True)):
-        decide(page, [next(shares) for _ in several], {name: wholes[name][k] for name in ("punctuated_lines", "common_words")})
+        decide(page, [next(shares) for _ in several], statistics.get(k))
     return pages
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_statistics
-from .cluster import shared_checkpoint, small_or_shuffled, spread
+from .cluster import BROADCAST_ROWS, shared_checkpoint, small_or_shuffled, spread
 from .codepoints import chunks
 from .page_lines import HINT, PROOF, read_pages
 from .repeated_lines import document_lines, frequent_lines, least_support, line_identifiers
@@ -35,40 +35,52 @@ def pages(records: DataFrame) -> DataFrame:
     """
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), F.coalesce("site_name", F.lit("")).alias("site_name"), "content").where("content <> ''")
     rows = spread(rows)
-    known = shared_checkpoint(site_lines(rows))
+    known = site_lines(rows)
+    small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if small:  # a list per site goes to all executors
+        joined = rows.join(F.broadcast(known.groupBy("site_name").agg(F.collect_list("line").alias("repeated"))), "site_name", "left")
+    else:  # each record gets its own lines, so that no site's records come together
+        own = document_lines(rows).select("record_id", "site_name", F.explode(F.array_distinct("lines")).alias("line")).join(known, ["site_name", "line"], "left_semi")
+        joined = rows.join(own.groupBy("record_id").agg(F.collect_list("line").alias("repeated")), "record_id", "left")
+    joined = joined.select("record_id", "site_name", "content", "repeated")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.int32()
         message = pa.struct([("line", pa.int64()), ("size", ints), ("weight", ints)])
         schema = pa.schema([("record_id", pa.int64()), ("site_name", pa.string()), ("kind", pa.string()), ("body", ints), ("slots", ints), ("surroundings", pa.list_(ints)), ("messages", pa.list_(message)), ("whole", pa.int64())])
+        sets: dict[str, frozenset[int]] = {}
         for batch in batches:
-            ids, sites, contents, lines = (batch.column(k).to_pylist() for k in range(4))
+            ids, sites, contents = (batch.column(k).to_pylist() for k in range(3))
+            if small:
+                for k in np.unique(np.array(sites), return_index=True)[1].tolist():
+                    if sites[k] not in sets:
+                        sets[sites[k]] = frozenset(batch.column(3)[k].as_py() or ())
+                lines = [sets[site] for site in sites]
+            else:
+                lines = [frozenset(x or ()) for x in batch.column(3).to_pylist()]
             for at, part in chunks(contents, READ):
                 owner, number, h = line_identifiers(part)
                 edges = np.searchsorted(owner, np.arange(len(part) + 1))
                 numbers = [dict(zip(number[a:b].tolist(), h[a:b].tolist(), strict=True)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                read = read_pages(part, [frozenset(x or ()) for x in lines[at : at + len(part)]], numbers)
+                read = read_pages(part, lines[at : at + len(part)], numbers)
                 out = [
                     (ids[at + k], sites[at + k], p.kind, p.body_size, p.slots, p.surroundings(), [dict(zip(("line", "size", "weight"), m, strict=True)) for m in p.messages], p.whole)
                     for k, p in enumerate(read)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.join(small_or_shuffled(known), "record_id", "left").select("record_id", "site_name", "content", "repeated").mapInArrow(read, PAGES)
+    return joined.mapInArrow(read, PAGES)
 
 
 def site_lines(rows: DataFrame) -> DataFrame:
-    """(record_id, site_name, content) to (record_id, repeated array<bigint>): of each record the lines that its site repeats.
+    """(record_id, site_name, content) to (site_name, line): the lines that each site repeats; a checkpoint.
 
     Equal contents of a site count once, so that a much delivered article doesn't turn into a notice.
     """
     first = rows.where("site_name <> ''").groupBy("site_name", F.xxhash64("content").alias("text")).agg(F.min("record_id").alias("record_id"))
     first = shared_checkpoint(first.select("record_id", "site_name"))
-    lines = document_lines(rows)
-    counted = lines.join(small_or_shuffled(first.select("record_id")), "record_id", "left_semi")
-    known = frequent_lines(counted, shared_checkpoint(least_support(first))).select("site_name", "line")
-    own = lines.select("record_id", "site_name", F.explode(F.array_distinct("lines")).alias("line"))
-    return own.join(small_or_shuffled(known), ["site_name", "line"], "left_semi").groupBy("record_id").agg(F.collect_list("line").alias("repeated"))
+    counted = document_lines(rows).join(small_or_shuffled(first.select("record_id")), "record_id", "left_semi")
+    return frequent_lines(counted, shared_checkpoint(least_support(first))).select("site_name", "line")
 
 
 def _recurring(rows: DataFrame) -> DataFrame:

@@ -58,7 +58,9 @@ def _repeats(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     total = np.diff(np.append(first, len(key)))
     o = (key[first] >> np.uint64(64 - bits)).astype(np.int64)
     top = np.zeros(n)
-    np.maximum.at(top, o, total)
+    if len(o):
+        edge = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        top[o[edge]] = np.maximum.reduceat(total, edge)
     return np.bincount(o, weights=total - 1, minlength=n), top
 
 
