@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoffs, history, mixture, near_duplicates, page_quality, repeated_lines, subjects, tokens
+from . import cutoffs, dom_density, history, mixture, near_duplicates, page_quality, repeated_lines, subjects, tokens
 from .cluster import read_table
 
 
@@ -57,6 +57,22 @@ def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.without_lines(records, page_quality.not_body(records))
 
 
+def p5_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Each content as the one paragraph of a page between a menu, a list of other titles and a footer, and read back."""
+    words = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"[\s\p{Z}\x1c-\x1f\x85]+", " "))
+    escaped = F.regexp_replace(F.regexp_replace(words, "&", "&amp;"), "<", "&lt;")
+    link = lambda text: f'<li><a href="/x">{text}</a></li>'
+    menu, others = "".join(map(link, ("首页", "快讯", "数据", "报告"))), "".join(map(link, ("另一篇关于储能市场的文章", "又一篇关于联赛的报道")))
+    html = F.concat(F.lit(f"<html><head><title>t</title><script>var a = 1;</script></head><body><ul>{menu}</ul><div><p>"), escaped, F.lit(f"</p></div><ul>{others}</ul><div><a href='/c'>联系我们</a></div></body></html>"))
+    return dom_density.main_bodies(read_table(spark, folder, "sample_final").select("record_id", html.alias("html")))
+
+
+P5_HTML_SQL = """
+with t as (select record_id, trim(regexp_replace(coalesce(content, ''), '[\\s\\x0b\\p{Z}\\x1c-\\x1f\\x85]+', ' ', 'g')) as c from sample_final)
+select record_id, case when length(replace(c, ' ', '')) < 2 then '' else c end as content from t
+"""
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.delivered_before(read_table(spark, folder, "sample_final"))
 
@@ -99,9 +115,9 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_cleaned, p1_sequences, p2_found, p3_found, p3_statistics, p4_found, p5_found, p5_bodies, p6_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_mixture, p9_report, p10_found, p10_shares)
+    found = (p1_found, p1_cleaned, p1_sequences, p2_found, p3_found, p3_statistics, p4_found, p5_found, p5_bodies, p5_html, p6_found, p7_found, p7_groups, p8_ids, p8_round_trip, p9_mixture, p9_report, p10_found, p10_shares)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": cutoffs.SITE_CUTOFFS_SQL, "p8_round_trip": tokens.ROUND_TRIP_SQL}
+    return {"p4_found": cutoffs.SITE_CUTOFFS_SQL, "p5_html": P5_HTML_SQL, "p8_round_trip": tokens.ROUND_TRIP_SQL}
