@@ -25,8 +25,7 @@ def duck(sf):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
-def test_rows_equal_those_of_the_sql(spark, sf, duck, name):
+def check_rows(spark, sf, duck, name):
     found = queries.QUERIES[name](spark, sf)
     columns = sorted(found.columns)
     ours = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=repr)
@@ -37,5 +36,10 @@ def test_rows_equal_those_of_the_sql(spark, sf, duck, name):
     assert ours == theirs
 
 
+@pytest.mark.parametrize("name", sorted(n for n, f in queries.QUERIES.items() if f.__module__ == queries.__name__))
+def test_rows_equal_those_of_the_sql(spark, sf, duck, name):
+    check_rows(spark, sf, duck, name)
+
+
 def test_every_query_has_sql():
     assert set(queries.SQL) == set(queries.QUERIES)

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import expected
 from .functions import dates, scoring, text, urls
 from .operators import discovery, quality, selection
 from .plans import curate
@@ -59,7 +60,7 @@ def sql_canonical(x: str) -> str:
     encode = lambda p: f"replace(url_encode({p}), '%20', '+')"
     pieces = f"list_filter(string_split(regexp_extract({x}, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '')"
     pairs = f"list_transform({pieces}, lambda p: {{'k': {decode("regexp_extract(p, '^[^=]*')")}, 'v': {decode("regexp_replace(p, '^[^=]*=?', '')")}}})"
-    kept = f"list_sort(list_filter({pairs}, lambda p: lower(p.k) not in ({', '.join(map(q, urls.TRACKING_KEYS))}) and not starts_with(lower(p.k), '{urls.TRACKING_PREFIX}')))"
+    kept = f"list_sort(list_filter({pairs}, lambda p: lower(p.k) not in ({', '.join(map(q, expected.TRACKING_KEYS))}) and not starts_with(lower(p.k), '{expected.TRACKING_PREFIX}')))"
     query_ = f"array_to_string(list_transform({kept}, lambda p: {encode('p.k')} || '=' || {encode('p.v')}), '&')"
     return f"rtrim(regexp_extract({x}, '^[^?#]*') || case when {query_} <> '' then '?' || {query_} else '' end, '/')"
 
@@ -162,7 +163,7 @@ def url_shapes(spark, folder):
 
 @query(
     f"""with c as (select candidate_id, lower(coalesce(candidate_url, '')) as u, lower(trim(coalesce(title, ''))) as t, {sql_host('candidate_url')} as h from candidates)
-    select candidate_id, ({" or ".join(f"contains(u, {q(p)})" for p in urls.SKIPPED_URL_PARTS)}) or ({" or ".join(f"contains(t, {q(p)})" for p in urls.SKIPPED_TEXT_PARTS)})
+    select candidate_id, ({" or ".join(f"contains(u, {q(p)})" for p in expected.SKIPPED_URL_PARTS)}) or ({" or ".join(f"contains(t, {q(p)})" for p in expected.SKIPPED_TEXT_PARTS)})
     or (length(t) < 6 and not regexp_matches(u, {YEAR_SQL})) or ((h = 'qianzhan.com' or ends_with(h, '.qianzhan.com')) and not contains(u, '/report/detail/')) as skipped from c"""
 )
 def skipped_links(spark, folder):
@@ -237,7 +238,7 @@ def keyword_matches(spark, folder):
 
 @query(
     f"""with h as (select record_id, coalesce(title, '') || ' ' || left(coalesce(content, ''), 1000) as t from sample_final),
-    c as (select record_id, unnest([{", ".join(f"{{'i': {i}, 'name': {q(n)}, 'n': {sql_count('t', w)}}}" for i, (n, w) in enumerate(scoring.CLASS_WORDS.items()))}]) as x from h),
+    c as (select record_id, unnest([{", ".join(f"{{'i': {i}, 'name': {q(n)}, 'n': {sql_count('t', w)}}}" for i, (n, w) in enumerate(expected.CLASS_WORDS.items()))}]) as x from h),
     r as (select record_id, x.name as name, x.n as n, row_number() over (partition by record_id order by x.n desc, x.i) as k from c)
     select record_id, case when n > 0 then name else '其他' end as class from r where k = 1"""
 )
@@ -245,13 +246,13 @@ def content_classes(spark, folder):
     return table(spark, folder, "sample_final").select("record_id", scoring.content_class("title", "content").alias("class"))
 
 
-@query(f"select record_id from sample_final where {sql_count("lower(coalesce(title, '') || ' ' || coalesce(content, ''))", scoring.BLOCKED_MARKERS)} > 0")
+@query(f"select record_id from sample_final where {sql_count("lower(coalesce(title, '') || ' ' || coalesce(content, ''))", expected.BLOCKED_MARKERS)} > 0")
 def blocked_pages(spark, folder):
     return table(spark, folder, "sample_final").where(scoring.looks_blocked("title", "content")).select("record_id")
 
 
-_CANDIDATE_SCORE = f"""(len({sql_hits("coalesce(title, '')")}) * 20 + ({sql_count("lower(coalesce(candidate_url, ''))", scoring.GOOD_HINTS)}) * 10
-    - ({sql_count("lower(coalesce(candidate_url, ''))", scoring.BAD_HINTS)} + (regexp_extract(coalesce(candidate_url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) in ('', '/'))::int) * 30
+_CANDIDATE_SCORE = f"""(len({sql_hits("coalesce(title, '')")}) * 20 + ({sql_count("lower(coalesce(candidate_url, ''))", expected.GOOD_HINTS)}) * 10
+    - ({sql_count("lower(coalesce(candidate_url, ''))", expected.BAD_HINTS)} + (regexp_extract(coalesce(candidate_url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) in ('', '/'))::int) * 30
     + regexp_matches(coalesce(candidate_url, ''), {YEAR_SQL})::int * 5 + (length({sql_clean("title")}) >= 8)::int * 3)"""
 
 
@@ -263,7 +264,7 @@ def candidate_scores(spark, folder):
 @query(
     rf"""with c as (select candidate_id, coalesce(candidate_url, '') as u, coalesce(title, '') as t from candidates), h as (select *, len({sql_hits("t || ' ' || u")}) as hits, lower(t || ' ' || u) as b from c)
     select candidate_id, cast(case when hits = 0 then 0 else hits * 30 + regexp_matches(lower(u), '/(research|news|industry|wiki|channel)/.+\.html(\?|$)|/(information|report)/[0-9]+(/detail)?(\?|$)')::int * 15 + regexp_matches(u, {YEAR_SQL})::int * 5 end as int) as topic_score,
-    cast(({sql_count("b", scoring.COLUMN_WORDS)}) * 10 - ({sql_count("b", scoring.NO_COLUMN_WORDS)}) * 20 + regexp_matches(u, {YEAR_SQL})::int * 3 + (length(t) >= 4)::int as int) as column_score from h"""
+    cast(({sql_count("b", expected.COLUMN_WORDS)}) * 10 - ({sql_count("b", expected.NO_COLUMN_WORDS)}) * 20 + regexp_matches(u, {YEAR_SQL})::int * 3 + (length(t) >= 4)::int as int) as column_score from h"""
 )
 def link_scores(spark, folder):
     return table(spark, folder, "candidates").select("candidate_id", scoring.topic_link_score("candidate_url", "title", KEYWORDS).alias("topic_score"), scoring.column_link_score("candidate_url", "title").alias("column_score"))
@@ -354,11 +355,11 @@ def replaced_entries(spark, folder):
 # Quality and diagnostics
 
 _ISSUES_SQL = f"""list_filter([
-    case when status = 'matched' and coalesce(content_type, '') = 'public_preview' and length(coalesce(content, '')) < 50 then '{quality.SHORT_PREVIEW}' end,
-    case when status = 'matched' and coalesce(content_type, '') <> 'public_preview' and length(coalesce(content, '')) < 200 then case when site_name = 'CBNData' then '{quality.SHORT_BY_SITE["CBNData"]}' else '{quality.SHORT_MATCH}' end end,
-    case when length(coalesce(content, '')) > 20000 and coalesce(extractor, '') <> 'stats.gov.cn' then '{quality.LONG_TEXT}' end,
-    case when coalesce(title, '') = '' and status in ('matched', 'unmatched') then '{quality.NO_TITLE}' end,
-    case {" ".join(f"when contains(coalesce(content, ''), {q(m)}) then {q(quality.NOISE_LABEL + m)}" for m in quality.NOISE)} end], lambda x: x is not null)"""
+    case when status = 'matched' and coalesce(content_type, '') = 'public_preview' and length(coalesce(content, '')) < 50 then '{expected.SHORT_PREVIEW}' end,
+    case when status = 'matched' and coalesce(content_type, '') <> 'public_preview' and length(coalesce(content, '')) < 200 then case when site_name = 'CBNData' then '{expected.SHORT_BY_SITE["CBNData"]}' else '{expected.SHORT_MATCH}' end end,
+    case when length(coalesce(content, '')) > 20000 and coalesce(extractor, '') <> 'stats.gov.cn' then '{expected.LONG_TEXT}' end,
+    case when coalesce(title, '') = '' and status in ('matched', 'unmatched') then '{expected.NO_TITLE}' end,
+    case {" ".join(f"when contains(coalesce(content, ''), {q(m)}) then {q(expected.NOISE_LABEL + m)}" for m in expected.NOISE)} end], lambda x: x is not null)"""
 
 
 @query(f"with i as (select record_id, {_ISSUES_SQL} as x, length(coalesce(content, '')) as content_length from sample_final) select record_id, case when len(x) > 0 then 'review' else 'pass' end as quality, coalesce(array_to_string(x, '；'), '') as issue, case when len(x) > 0 then 'yes' else '' end as review_required, content_length from i")
@@ -437,7 +438,7 @@ _ANNOTATED = f"{sql_hits("coalesce(title, '') || ' ' || coalesce(content, '')")}
 
 @query(
     f"""with a as (select *, {_ANNOTATED} as hits, {_ISSUES_SQL} as x, case when {sql_canonical("coalesce(url, '')")} <> '' then {sql_canonical("coalesce(url, '')")} else {sql_clean('title')} end as key from sample_final
-      where {sql_count("lower(coalesce(title, '') || ' ' || coalesce(content, ''))", scoring.BLOCKED_MARKERS)} = 0 and {sql_clean('content')} <> ''),
+      where {sql_count("lower(coalesce(title, '') || ' ' || coalesce(content, ''))", expected.BLOCKED_MARKERS)} = 0 and {sql_clean('content')} <> ''),
     r as (select *, row_number() over (partition by key order by record_id) as n from a where len(hits) > 0)
     select record_id, array_to_string(hits, ' ') as hits, left({sql_clean('content')}, 200) as excerpt, case when len(x) > 0 then 'review' else 'pass' end as quality, coalesce(array_to_string(x, '；'), '') as issue from r where key = '' or n = 1"""
 )
@@ -476,7 +477,7 @@ _LINKS_SQL = f"""p as (select *, {sql_host('search_url')} as h from candidates w
     union all select candidate_id, h, 3, {_ORIGIN} || '/pic/' || candidate_id || '.PNG', {sql_clean('title')} from p),
     k as (select *, {sql_host('link')} as g, lower(link) as u from l where regexp_matches(lower(link), '^https?://'))"""
 _INSIDE, _FILE = "(g = h or ends_with(g, '.' || h))", r"regexp_matches(u, '[.](doc|docx|xls|xlsx|zip|rar|jpg|jpeg|png|gif|pdf)(\?|$)')"
-_SKIP = f"(({' or '.join(f'contains(u, {q(p)})' for p in urls.SKIPPED_URL_PARTS)}) or ({' or '.join(f'contains(lower(t), {q(p)})' for p in urls.SKIPPED_TEXT_PARTS)}) or (length(t) < 6 and not regexp_matches(u, {YEAR_SQL})))"
+_SKIP = f"(({' or '.join(f'contains(u, {q(p)})' for p in expected.SKIPPED_URL_PARTS)}) or ({' or '.join(f'contains(lower(t), {q(p)})' for p in expected.SKIPPED_TEXT_PARTS)}) or (length(t) < 6 and not regexp_matches(u, {YEAR_SQL})))"
 _ONCE = "row_number() over (partition by candidate_id, {what} order by position)"
 
 
@@ -511,7 +512,7 @@ def search_discovery(spark, folder):
     return discovery.search_candidates(_link_pages(spark, folder), "candidate_id", KEYWORDS, 2)
 
 
-_COLUMN_SCORE = f"(({sql_count("lower(t || ' ' || link)", scoring.COLUMN_WORDS)}) * 10 - ({sql_count("lower(t || ' ' || link)", scoring.NO_COLUMN_WORDS)}) * 20 + regexp_matches(link, {YEAR_SQL})::int * 3 + (length(t) >= 4)::int)"
+_COLUMN_SCORE = f"(({sql_count("lower(t || ' ' || link)", expected.COLUMN_WORDS)}) * 10 - ({sql_count("lower(t || ' ' || link)", expected.NO_COLUMN_WORDS)}) * 20 + regexp_matches(link, {YEAR_SQL})::int * 3 + (length(t) >= 4)::int)"
 
 
 @query(
