@@ -268,18 +268,22 @@ def _learn(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, k: int, purity:
     new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
     o, x = o[new], x[new]
     term, place = np.unique(x, return_inverse=True)
-    total = np.stack([np.bincount(place, weights=weight[o, j], minlength=len(term)) for j in range(k)], axis=1)
-    n = total.sum(axis=1)
+    whole = weight.sum(axis=1)
+    n = np.bincount(place, weights=whole[o], minlength=len(term))
     # a term that as often stands in sentences about nothing is no term of a subject
-    lone = np.bincount(place, weights=(weight[o].sum(axis=1) == 0), minlength=len(term))
+    lone = np.bincount(place, weights=whole[o] == 0, minlength=len(term))
+    open_ = (n >= 3) & (lone * 4 < n)
+    new = open_[place]
+    o, place = o[new], (np.cumsum(open_) - 1)[place[new]]
+    term, n = term[open_], n[open_]
+    total = np.stack([np.bincount(place, weights=weight[o, j], minlength=len(term)) for j in range(k)], axis=1)
     frequency = np.maximum(weight.sum(axis=0), 1e-9)
     rate = total / frequency
     lean = rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
     best = lean.argmax(axis=1)
     top = lean[np.arange(len(term)), best]
     sure = top * n / (n + 1)
-    good = np.flatnonzero((n >= 3) & (sure > purity) & (lone * 4 < n))
-    good = good[np.argsort(-(sure * np.log1p(n))[good], kind="stable")]
+    good = np.flatnonzero(sure > purity)
     return {int(term[i]): (int(best[i]), float(sure[i])) for i in good}
 
 
