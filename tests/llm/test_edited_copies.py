@@ -40,3 +40,31 @@ def test_scattered_edits(spark):
             rows += [base, replaced(rng, base, int(size * rng.uniform(0.04, 0.055)))]
     found, n = recall(spark, list(enumerate(rows)))
     assert n > 100 and found >= 0.99
+
+
+def test_evenly_spread_edits(spark):
+    rng = random.Random(7)
+    rows = []
+    for every in (22, 25, 28, 31, 34, 36):
+        for _ in range(15):
+            base = list(text_of(rng, rng.randint(260, 900)))
+            other = list(base)
+            for at in range(every // 2, len(other), every):
+                other[at] = rng.choice(HAN)
+            rows += ["".join(base), "".join(other)]
+    found, n = recall(spark, list(enumerate(rows)))
+    assert n >= 85 and found >= 0.99
+
+
+def test_a_notice_of_400_records(spark):
+    rng = random.Random(8)
+    notice = text_of(rng, 150)
+    rows = [notice + text_of(rng, 300) for _ in range(400)]
+    for k in range(60):
+        base = list(notice + text_of(rng, 300))
+        other = list(base)
+        for at in rng.sample(range(150, 450), 12):
+            other[at] = rng.choice(HAN)
+        rows += ["".join(base), "".join(other)]
+    found, n = recall(spark, list(enumerate(rows)))
+    assert n >= 60 and found >= 0.99
